@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelloom.llm.fusion import fused, survivors
 from reelloom.llm.seen_keys import seen_before, wrong_answers
 from reelloom.llm.topn import top_n
 from reelloom.session import table
@@ -23,6 +24,14 @@ def p2_wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong_answers(table(spark, sf_dir, "torrent_records"), table(spark, sf_dir, "ingested_torrents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"))
+
+
+def p4_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = [r.id for r in table(spark, sf_dir, "catalog_snapshot_generations").where("active").select("id").collect()]
     rows = (
@@ -81,6 +90,8 @@ FROM (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_wrong_answers": p2_wrong_answers,
+    "p4_found": p4_found,
+    "p4_fused": p4_fused,
     "p7_found": p7_found,
 }
 
