@@ -29,13 +29,16 @@ def base32_to_hex(text: Column) -> Column:
     return let(text, lambda t: F.array_join(F.transform(starts, lambda s: group(F.substring(t, s, F.lit(8)))), ""))
 
 
+def _normalized(text: Column) -> Column:
+    return F.when(F.length(text) == 40, F.when(text.rlike("^[0-9A-Fa-f]{40}$"), F.lower(text))).when(
+        F.length(text) == 32, F.when(text.rlike("^[A-Za-z2-7]{32}$"), base32_to_hex(F.upper(text)))
+    )
+
+
 def normalize_info_hash(raw: Column) -> Column:
     """40 lower-case hex characters of a hash in hex or base32, in any case,
     after trimming; null if it is neither."""
-    text = strip_blanks(raw)
-    return F.when(text.rlike("^[0-9A-Fa-f]{40}$"), F.lower(text)).when(
-        text.rlike("^[A-Za-z2-7]{32}$"), base32_to_hex(F.upper(text))
-    )
+    return let(strip_blanks(raw), _normalized)
 
 
 def hash_of_delivery(raw: Column) -> Column:
@@ -44,7 +47,10 @@ def hash_of_delivery(raw: Column) -> Column:
     In a link, the first ``xt=urn:btih:`` parameter counts; its value may be
     percent-encoded.
     """
-    text = strip_blanks(raw)
-    link = text.rlike("(?i)^magnet:")
-    value = F.regexp_extract(text, r"(?i)[?&]xt=urn(?::|%3a)btih(?::|%3a)([^&#]*)", 1)
-    return F.when(link, normalize_info_hash(value)).otherwise(normalize_info_hash(text))
+
+    def found(text: Column) -> Column:
+        value = F.regexp_extract(text, r"(?i)[?&]xt=urn(?::|%3a)btih(?::|%3a)([^&#]*)", 1)
+        link = (F.length(text) > 40) & F.lower(F.substring(text, 1, 7)).eqNullSafe("magnet:")
+        return F.when(link, let(value, _normalized)).otherwise(_normalized(text))
+
+    return let(strip_blanks(raw), found)
