@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelloom.llm.canonical_values import OTHER_NAMES, map_item_values
 from reelloom.llm.fusion import fused, survivors
 from reelloom.llm.seen_keys import seen_before, wrong_answers
 from reelloom.llm.topn import top_n
@@ -24,6 +25,12 @@ def p2_wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong_answers(table(spark, sf_dir, "torrent_records"), table(spark, sf_dir, "ingested_torrents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genres = table(spark, sf_dir, "content_collections").where("type = 'genre'").select("id", "name")
+    items = table(spark, sf_dir, "catalog_snapshot_items")
+    return map_item_values(items, ["generation_id", *CONTENT_KEY], "genres", genres, OTHER_NAMES)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"))
 
@@ -90,6 +97,7 @@ FROM (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_wrong_answers": p2_wrong_answers,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_fused": p4_fused,
     "p7_found": p7_found,
