@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from reelloom.llm.canonical_values import OTHER_NAMES, map_item_values
 from reelloom.llm.fusion import fused, survivors
+from reelloom.llm.leaks import leaked
+from reelloom.llm.quality import document_quality
 from reelloom.llm.seen_keys import seen_before, wrong_answers
 from reelloom.llm.topn import top_n
 from reelloom.session import table
@@ -80,6 +82,20 @@ firsts AS (SELECT source, hash, min(coalesce(record_id, -1)) AS first_id FROM ke
 SELECT record_id FROM keyed JOIN firsts USING (source, hash) WHERE record_id > first_id
 """
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = document_quality(table(spark, sf_dir, "documents"))
+    return quality.where(F.col("list") + F.col("table") + F.col("junk") > 0.5).select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_quality(table(spark, sf_dir, "documents"))
+
+
 P7_FOUND_SQL = """
 SELECT content_type, content_source, content_id, coalesce(video_resolution, '') AS video_resolution, info_hash
 FROM (
@@ -101,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_fused": p4_fused,
     "p7_found": p7_found,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 SQL: dict[str, str] = {
