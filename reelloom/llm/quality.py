@@ -208,7 +208,7 @@ def seed_labels(symbol: np.ndarray) -> np.ndarray:
         ((p["separators"] == 3) & (p["capitals"] >= 1), 2),
         ((p["marker"] == 4) & (length <= 1), 4),
         (salad & (p["capitals"] == 0), 5),
-        ((common >= 2) & (length >= 2), 0),
+        ((common >= 2) & ((length >= 2) | (length == 1) & (p["capitals"] == 0)), 0),
         ((common >= 1) & (length >= 2) & (p["ending"] == 1) & (p["capitals"] < 2), 0),
         ((length <= 1) & (p["capitals"] == 2), 2),
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelloom.llm.canonical_values import OTHER_NAMES, map_item_values
 from reelloom.llm.fusion import fused, survivors
 from reelloom.llm.leaks import leaked
+from reelloom.llm.packing import fill_report, packed
 from reelloom.llm.quality import document_quality
 from reelloom.llm.seen_keys import seen_before, wrong_answers
 from reelloom.llm.topn import top_n
@@ -82,6 +83,14 @@ firsts AS (SELECT source, hash, min(coalesce(record_id, -1)) AS first_id FROM ke
 SELECT record_id FROM keyed JOIN firsts USING (source, hash) WHERE record_id > first_id
 """
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+
+
+def p8_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p8_packed(spark, sf_dir), table(spark, sf_dir, "context_windows"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id")
@@ -117,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_fused": p4_fused,
     "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_unused": p8_unused,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
