@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelloom.llm.canonical_values import OTHER_NAMES, map_item_values
+from reelloom.llm.entity_match import matched
 from reelloom.llm.fusion import fused, survivors
 from reelloom.llm.leaks import leaked
 from reelloom.llm.packing import fill_report, packed
@@ -42,6 +43,14 @@ def p4_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"))
 
 
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched(table(spark, sf_dir, "torrent_records"), table(spark, sf_dir, "tmdb_content"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_matches(spark, sf_dir).select("record_id", "tmdb_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = [r.id for r in table(spark, sf_dir, "catalog_snapshot_generations").where("active").select("id").collect()]
     rows = (
@@ -125,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_fused": p4_fused,
+    "p6_found": p6_found,
+    "p6_matches": p6_matches,
     "p7_found": p7_found,
     "p8_packed": p8_packed,
     "p8_unused": p8_unused,
