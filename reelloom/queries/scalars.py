@@ -147,16 +147,17 @@ select distinct a.kind || '-' || a.id as work, b.id as match from w a join w b o
 
 
 def unseen_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose type and user didn't occur in the first half of the log."""
-    events = table(spark, sf_dir, "events")
+    """Events whose type, user and hour of the day didn't occur in the first
+    half of the log."""
+    events = table(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
     half = events.agg(F.max("event_id") / 2).first()[0]
-    return unseen(events.where(F.col("event_id") > half), events.where(F.col("event_id") <= half), ["event_type", "user_id"]).select("event_id", "event_type", "user_id")
+    return unseen(events.where(F.col("event_id") > half), events.where(F.col("event_id") <= half), ["event_type", "user_id", "hour"]).select("event_id", "event_type", "user_id")
 
 
 UNSEEN_SQL = """
 with h as (select max(event_id) / 2 as half from events)
 select event_id, event_type, user_id from events a, h where event_id > half and not exists (
-  select 1 from events b where b.event_id <= h.half and b.event_type = a.event_type and b.user_id = a.user_id)
+  select 1 from events b where b.event_id <= h.half and b.event_type = a.event_type and b.user_id = a.user_id and hour(b.ts) = hour(a.ts))
 """
 
 
