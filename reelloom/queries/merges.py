@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from reelloom.operators.merge import fill_text, greatest, insert_missing, keep,
 from reelloom.plans import correlate
 from reelloom.plans.catalog import KEY
 from reelloom.plans.derive import ctes, derived
-from reelloom.session import is_folder, shared_dir, table
+from reelloom.session import is_folder, scratch_path, table
 from reelloom.sources import catalog_json, feed
 from reelloom.streaming import ingest
 
@@ -155,7 +154,7 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _collected(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All that a stream gives now, by way of files in the shared folder."""
-    root = f"{shared_dir(spark)}/reelloom-stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "stream")
     ingest.run_to_end(stream, f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 

@@ -49,6 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/reelloom-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
@@ -56,9 +63,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     column; it is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reelloom-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
