@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelloom.llm.canonical_values import OTHER_NAMES, map_item_values
 from reelloom.llm.entity_match import matched
-from reelloom.llm.fusion import fused, survivors
+from reelloom.llm.fusion import PICTURE_STAND_INS, STAND_INS, fused, survivors
 from reelloom.llm.leaks import leaked
 from reelloom.llm.packing import fill_report, packed
 from reelloom.llm.quality import document_quality
@@ -114,6 +114,41 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(table(spark, sf_dir, "documents"))
 
 
+_STAND_IN_LIST = ", ".join(f"'{s}'" for s in STAND_INS)
+_PICTURE = PICTURE_STAND_INS.replace("'", "''")
+
+
+def _words_sql(column: str) -> str:
+    bare = f"regexp_replace(regexp_replace({column}, '(?s)<[^<>]*>', ' ', 'g'), '(?i)&(nbsp|#160|#xa0|ensp|emsp|thinsp|zwnj|zwj|shy|#8203);', ' ', 'g')"
+    return f"trim(regexp_replace(lower({bare}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+P4_FOUND_SQL = f"""
+WITH texts AS (
+  SELECT *, {_words_sql('synopsis')} AS words, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS name,
+    trim(poster, e' \\t\\n\\r' || chr(160)) AS picture, trim(tmdb_id, e' \\t\\n\\r' || chr(160)) AS number
+  FROM catalog_items WHERE canonical_id IS NOT NULL
+),
+pictures AS (SELECT picture FROM texts GROUP BY picture HAVING count(DISTINCT canonical_id) >= 3),
+claims AS (
+  SELECT t.*, coalesce(m.trust_rank, 2147483647) AS trust,
+    coalesce(words <> '' AND words NOT IN ({_STAND_IN_LIST})
+      AND regexp_replace(words, ' \\d{{4}}$', '') <> regexp_replace(coalesce(t.name, ''), ' \\d{{4}}$', ''), false) AS ok_synopsis,
+    coalesce(regexp_matches(picture, '(?i)^(https?:/)?/\\S*[^\\s/]+$') AND NOT regexp_matches(picture, '{_PICTURE}'), false)
+      AND picture NOT IN (SELECT picture FROM pictures WHERE picture IS NOT NULL) AS ok_poster,
+    coalesce(rating > 0 AND rating <= 10 AND NOT isnan(rating), false) AS ok_rating,
+    coalesce(regexp_matches(number, '^0*[1-9][0-9]*$'), false) AS ok_tmdb_id
+  FROM texts t LEFT JOIN metadata_sources m ON m.key = t.source
+),
+fields AS (
+  SELECT canonical_id, unnest(['synopsis', 'poster', 'rating', 'tmdb_id']) AS field_name,
+    unnest([ok_synopsis, ok_poster, ok_rating, ok_tmdb_id]) AS ok, trust, updated_at, row_id FROM claims
+)
+SELECT canonical_id, field_name, row_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY canonical_id, field_name ORDER BY trust, updated_at DESC NULLS LAST, row_id) AS place FROM fields WHERE ok)
+WHERE place = 1 AND canonical_id IN (SELECT canonical_id FROM catalog_items GROUP BY 1 HAVING count(*) >= 2)
+"""
+
 P7_FOUND_SQL = """
 SELECT content_type, content_source, content_id, coalesce(video_resolution, '') AS video_resolution, info_hash
 FROM (
@@ -146,5 +181,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "p2_found": P2_FOUND_SQL,
+    "p4_found": P4_FOUND_SQL,
     "p7_found": P7_FOUND_SQL,
 }
