@@ -26,6 +26,7 @@ from reelloom.plans.catalog import (
     snapshot_torrents,
 )
 from reelloom.plans.derive import ctes, derived
+from reelloom.queries.scalars import PARSE_SQL
 from reelloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -538,6 +539,21 @@ def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.select("kind", "id", F.array_join(fulltext.tokens(F.col("title")), " ").alias("tokens"))
 
 
+def decision_sql(parsed: str) -> str:
+    """Decisions as another engine states them, from a parse of the names."""
+    return f"""
+    with names as (select distinct name from torrent_records where name is not null), parsed as ({parsed}),
+    asked as (select sha1(name) as info_hash, kind, title, year,
+        translate(regexp_replace(title, '[^\\p{{L}}\\p{{N}}]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as plain from parsed),
+    works as (select distinct kind, id, release_year as year,
+        translate(regexp_replace(title, '[^\\p{{L}}\\p{{N}}]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as plain from tmdb_content),
+    hits as (select info_hash, min(id) as id from asked a join works w on a.kind = w.kind and a.plain <> '' and w.plain <> ''
+        and (a.plain = w.plain or (length(a.plain) >= 8 and contains(w.plain, a.plain)) or (length(w.plain) >= 8 and contains(a.plain, w.plain)))
+        and (a.year is null or coalesce(abs(a.year - w.year) <= 1, false)) group by info_hash)
+    select a.info_hash, case when h.id is not null then 'matched' when a.title is null then 'unparsed' else 'no_match' end as status, h.id
+    from asked a left join hits h using (info_hash)"""
+
+
 QUERIES: dict[str, Query] = {
     "snapshot_torrents": snapshot_torrents_query,
     "snapshot_items": snapshot_items_query,
@@ -588,6 +604,7 @@ SQL: dict[str, str] = {
       where c.canonical_id <> e.tmdb_id""",
     "merge_upgrade": UPGRADE_SQL,
     "enrich_worklist": WORKLIST_SQL,
+    "enrich_decision": decision_sql(PARSE_SQL.replace("record_id", "name").replace("from torrent_records)", "from names)")),
     "provider_listagg": ctes(SNAPSHOT_CTES[6]) + "select * from provider_lists",
     "genre_arrays": ctes() + "select content_type, content_source, content_id, string_agg(name, '|' order by name) as genres from genres group by all",
     "latest_nonnull": ctes()

@@ -109,6 +109,21 @@ def hash_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_id", normalize_info_hash(F.col("info_hash")).alias("bare"), hash_of_delivery(F.col("info_hash")).alias("delivered"))
 
 
+_BASE32 = """array_to_string(list_transform(range(0, 4), lambda g: printf('%010x', list_reduce(list_transform(range(1, 9), lambda i:
+    CAST(strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', substr(upper({x}), CAST(g * 8 + i AS BIGINT), 1)) - 1 AS BIGINT)), lambda a, b: a * 32 + b))), '')"""
+
+
+def _hash_sql(x: str) -> str:
+    return f"""case when regexp_matches({x}, '^[0-9A-Fa-f]{{40}}$') then lower({x}) when regexp_matches({x}, '^[A-Za-z2-7]{{32}}$') then {_BASE32.format(x=x)} end"""
+
+
+HASH_SQL = f"""
+with t as (select record_id, trim(info_hash, e' \\t\\n\\r\\f' || chr(11) || chr(160) || chr(8203) || chr(12288)) as x from torrent_records),
+u as (select *, case when lower(x) like 'magnet:%' then regexp_extract(x, '(?i)[?&]xt=urn(?::|%3a)btih(?::|%3a)([^&#]*)', 1) else x end as y from t)
+select record_id, {_hash_sql('x')} as bare, {_hash_sql('y')} as delivered from u
+"""
+
+
 def imdb_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "catalog_items")
     return items.select("row_id", scalars.is_imdb_id(F.col("id")).alias("imdb"))
@@ -354,6 +369,7 @@ SQL: dict[str, str] = {
     "resolution": RESOLUTION_SQL,
     "stable_id": STABLE_SQL,
     "episode_path": EPISODE_SQL,
+    "hash_normalize": HASH_SQL,
     "imdb_test": "select row_id, coalesce(regexp_matches(id, '^tt[0-9]{5,}$'), false) as imdb from catalog_items",
     "image_url": f"select row_id, {_image_sql(POSTERS, 'poster')}, {_image_sql(BACKDROPS, 'fanart')} from catalog_items",
     "rating_clamp": "select row_id, greatest(0.0::double, least(10.0::double, coalesce(case when isnan(rating) then 0 else rating end, 0))) as rating from catalog_items",

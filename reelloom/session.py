@@ -52,6 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/reelloom-{label}-{uuid.uuid4().hex}"
+    if not _written:
+        # Registered after the session's own hook, so it runs before the session ends.
+        atexit.register(_remove_written)
     _written.append((spark, path))
     return path
 
@@ -78,7 +81,6 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-@atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
