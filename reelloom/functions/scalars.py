@@ -130,7 +130,7 @@ def chosen_sources(wanted: Column, configured: list[str]) -> Column:
     """Wanted sources without repeats, in order; all configured ones if none
     is wanted; null if one isn't configured."""
     known = F.array(*[F.lit(c) for c in configured]).cast("array<string>")
-    asked = F.array_distinct(F.filter(F.transform(F.coalesce(wanted, F.array().cast("array<string>")), F.trim), lambda w: w != ""))
+    asked = F.array_distinct(F.filter(F.transform(F.coalesce(wanted, F.array().cast("array<string>")), lambda w: F.trim(w)), lambda w: w != ""))
     return let(asked, lambda a: F.when(F.size(a) == 0, known).when(F.size(F.array_except(a, known)) == 0, a))
 
 

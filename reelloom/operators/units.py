@@ -31,6 +31,7 @@ PASSES = 3
 ROWS_PER_CUT = 5
 # Bytes per unit.
 FACTORS = [1, 1000, 1024, 1000**2, 1024**2, 1000**3, 1024**3, 1000**4, 1024**4]
+MEDIAN_OF_SQUARE = 0.455  # of a squared standard normal
 SMALLEST_SHIFT = math.log(1000) / 2
 
 
@@ -68,13 +69,18 @@ def _segments_of(bins: pd.DataFrame) -> pd.DataFrame:
     half the smallest unit factor are one."""
     bins = bins.sort_values("bin", kind="stable")
     n, total, squares = (bins[c].to_numpy(float) for c in ("n", "total", "squares"))
-    variance = max(1e-9, float(np.median(np.maximum(squares / n - (total / n) ** 2, 0)[n >= min(ROWS_PER_CUT, n.max())])))
-    penalty = 3 * max(variance, 0.05) * math.log(max(3.0, n.sum()))
+    # Rows of one level scatter this much; neighbouring bins tell, and a few changes don't disturb the median.
+    mean = total / n
+    scatter = np.diff(mean) ** 2 / (1 / n[1:] + 1 / n[:-1])
+    variance = max(0.05, float(np.median(scatter)) / MEDIAN_OF_SQUARE) if len(scatter) else 1.0
+    penalty = 4 * variance * math.log(max(3.0, n.sum()))
     starts = changepoints(n, total, squares, penalty)
     levels: list[list] = []  # first and last bin, count, sum
     for a, b in zip(starts, [*starts[1:], len(n)]):
         part = [a, b - 1, n[a:b].sum(), total[a:b].sum()]
-        if levels and abs(part[3] / part[2] - levels[-1][3] / levels[-1][2]) < SMALLEST_SHIFT:
+        if levels and part[2] < ROWS_PER_CUT:
+            levels[-1][1] = part[1]  # outliers
+        elif levels and abs(part[3] / part[2] - levels[-1][3] / levels[-1][2]) < SMALLEST_SHIFT:
             levels[-1][1:] = [part[1], levels[-1][2] + part[2], levels[-1][3] + part[3]]
         else:
             levels.append(part)

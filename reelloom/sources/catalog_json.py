@@ -123,7 +123,7 @@ def page_items(pages: DataFrame) -> DataFrame:
         rating_of_json(F.try_variant_get(item, "$.rating", "variant")).alias("rating"),
         _first(item, ("images.poster",)).alias("poster"),
         _first(item, ("images.fanart", "images.backdrop")).alias("fanart"),
-        F.filter(F.transform(F.coalesce(genres, F.array().cast("array<string>")), F.trim), lambda g: g != "").alias("genres"),
+        F.filter(F.transform(F.coalesce(genres, F.array().cast("array<string>")), lambda g: F.trim(g)), lambda g: g != "").alias("genres"),
         F.to_json(item).alias("item"),
     ).where("title <> ''")
     return rows.withColumn("id", F.coalesce("given", stable_item_id(F.col("title"), F.col("year")))).drop("given")
@@ -133,7 +133,7 @@ def item_torrents(items: DataFrame) -> DataFrame:
     """(id, info_hash, name, size, quality, seeders, leechers, season, episode,
     file) of the torrents anywhere in each item; broken hashes are left out."""
     rows = items.select("id", F.explode(_collected("item", "title")).alias("t"))
-    whole = lambda c: F.greatest(F.lit(0), F.col(c).try_cast("int"))
+    whole = lambda c: F.when(F.col(c).try_cast("int") > 0, F.col(c).try_cast("int")).when(F.col(c).try_cast("int").isNotNull(), F.lit(0))
     return rows.select(
         "id", hash_of_delivery(F.col("t.locator")).alias("info_hash"), "t.name", F.coalesce(F.col("t.size").try_cast("bigint"), F.lit(0)).alias("size"),
         "t.quality", whole("t.seeders").alias("seeders"), whole("t.leechers").alias("leechers"), "t.season", "t.episode", "t.file",
