@@ -28,7 +28,7 @@ from reelloom.session import materialize
 
 FIELDS = ("synopsis", "poster", "rating", "tmdb_id")
 SHARED_BY = 3
-ROUNDS = 3
+ROUNDS = 8
 FALSE_VALUES = 20  # assumed number of wrong values a field could have
 COPY_RATE = 0.8  # assumed share of values that a copying source copies
 COPY_PRIOR = 0.1
@@ -230,8 +230,14 @@ def _accuracies(scored: DataFrame) -> dict[str, float]:
 
 
 def _copying(scored: DataFrame, accuracy: dict[str, float]) -> dict[str, float]:
-    """Probability that the sources of a pair depend on each other."""
-    pairs = scored.select(
+    """Probability that the sources of a pair depend on each other.
+
+    Independent sources may well agree on what is true, so agreements on the
+    likeliest value don't count; they seldom make the same mistake, so shared
+    less likely values speak for copying, and differences against it.
+    """
+    top = F.array_max(F.transform("votes", lambda v: v["p"]))
+    pairs = scored.withColumn("top", top).select(
         F.explode(
             F.flatten(
                 F.transform(
@@ -241,7 +247,7 @@ def _copying(scored: DataFrame, accuracy: dict[str, float]) -> dict[str, float]:
                         lambda b: F.struct(
                             F.concat_ws("|", a["source"], b["source"]).alias("pair"),
                             (a["value"] == b["value"]).alias("same"),
-                            (a["p"] >= 0.5).alias("true"),
+                            (a["p"] < F.col("top") - 0.05).alias("false"),
                         ),
                     ),
                 )
@@ -250,24 +256,20 @@ def _copying(scored: DataFrame, accuracy: dict[str, float]) -> dict[str, float]:
     )
     counts = (
         pairs.groupBy("x.pair")
-        .agg(
-            F.count_if(F.col("x.same") & F.col("x.true")).alias("t"),
-            F.count_if(F.col("x.same") & ~F.col("x.true")).alias("f"),
-            F.count_if(~F.col("x.same")).alias("d"),
-        )
+        .agg(F.count_if(F.col("x.same") & F.col("x.false")).alias("f"), F.count_if(~F.col("x.same")).alias("d"))
         .collect()  # pairs of sources
     )
     error = 1 - min(0.99, max(0.5, sum(accuracy.values()) / max(1, len(accuracy))))
-    alone = ((1 - error) ** 2, error**2 / FALSE_VALUES)
-    joint = tuple(COPY_RATE * s + (1 - COPY_RATE) * a for s, a in zip((1 - error, error), alone))
+    apart = 1 - (1 - error) ** 2 - error**2 / FALSE_VALUES
+    alone_false, alone_apart = error**2 / FALSE_VALUES, apart
+    copied_false = COPY_RATE * error + (1 - COPY_RATE) * alone_false
+    copied_apart = (1 - COPY_RATE) * alone_apart
+    share = lambda x, y: x / (x + y)
+    gain = math.log(share(copied_false, copied_apart) / share(alone_false, alone_apart))
+    loss = math.log(share(copied_apart, copied_false) / share(alone_apart, alone_false))
     out = {}
-    for pair, same_true, same_false, differ in counts:
-        log_ratio = (
-            same_true * math.log(joint[0] / alone[0])
-            + same_false * math.log(joint[1] / alone[1])
-            + differ * math.log((1 - sum(joint)) / (1 - sum(alone)))
-        )
-        odds = log_ratio + math.log(COPY_PRIOR / (1 - COPY_PRIOR))
+    for pair, same_false, differ in counts:
+        odds = same_false * gain + differ * loss + math.log(COPY_PRIOR / (1 - COPY_PRIOR))
         out[pair] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
     return out
 
@@ -276,7 +278,9 @@ def fused(items: DataFrame, sources: DataFrame) -> DataFrame:
     """(canonical_id, field_name, row_id, posterior): the value of the largest
     posterior for each field of each group; ties go to the smaller row_id."""
     votes = materialize(_votes(usable_claims(items, sources)), "votes")
-    accuracy: dict[str, float] = {}
+    # A few sources; the better trusted start as the more accurate.
+    ranks = {r[0]: r[1] for r in sources.where("trust_rank is not null").select("key", "trust_rank").collect()}
+    accuracy = {f"{s}|{f}": max(0.6, 0.9 - 0.03 * r) for s, r in ranks.items() for f in FIELDS}
     copying: dict[str, float] = {}
     for _ in range(ROUNDS):
         scored = _posteriors(votes, accuracy, copying)
