@@ -26,8 +26,8 @@ from reelloom.session import materialize
 
 KINDS = ("prose", "list", "table", "junk")
 # States and their kinds: kinds of several looks have several states.
-STATES = ("prose", "marked list", "plain list", "cells", "sheet", "loose words", "code", "page words")
-KIND_OF = np.array([0, 1, 1, 2, 2, 3, 3, 3])
+STATES = ("prose", "marked list", "plain list", "cells", "sheet", "loose words", "code", "page words", "inline list", "repeated line")
+KIND_OF = np.array([0, 1, 1, 2, 2, 3, 3, 3, 1, 3])
 ROUNDS = 2
 # Common words of several languages.
 COMMON = (
@@ -42,6 +42,13 @@ COMMON = (
     "también me hasta hay donde quien desde todo nos todos uno ni nada él ella es fue aunque no "
     "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой от так о для ты же все год мочь вы человек "
     "такой его только или бы себя один как уже до при её их был была ни нет если ещё где когда после чтобы ему ей "
+    "хотя можно было быть тот та те кому кто здесь там тут потом очень много мало всё всех ничего никто через между перед под над без про "
+    "пока чем этого этой этом эти эта которого которой которую которые меня мне тебя тебе нам нас вам вас им ими своих своей свою даже лишь "
+    "ведь вот да ну раз два три одна одно другой самый каждый вся совсем почти снова теперь тогда всегда никогда иногда некоторые есть будет "
+    "tras aún esa ese eso estos estas otra otro otros cada tan tanto mucho mucha poco hacia durante contra mientras porque mismo misma era eran ser "
+    "ces dont leurs notre votre ils elles encore toujours après avant depuis pendant entre contre chez là où déjà peu trop beaucoup chaque quelque autre "
+    "dann hier dort schon selbst gegen ohne unter zwischen während weil damit diese dieser dieses jede jeder kein keine mein dein sein ihre alle viel "
+    "nella sono stato suo sua loro anche quando perché dopo prima ogni molto questo quella sem seu sua mas quando depois muito isso essa pelo pela "
     "il di che è per non sono con si da come anche più ma gli nel della dei una lo questo o os um uma não do da em para com se mais "
     "het een van dat niet op te zijn voor met i w na do nie się jest że jak och att det som på är av till för inte bir ve bu da için"
 )
@@ -59,7 +66,7 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 # Feature sizes, from the least significant place of a symbol on.
 # Length and common words count as one: long lines without any are no prose.
-SIZES = {"wording": 16, "capitals": 3, "marker": 5, "separators": 4, "letters": 3, "oddity": 5, "ending": 2}
+SIZES = {"wording": 16, "capitals": 3, "marker": 5, "separators": 4, "letters": 3, "oddity": 6, "ending": 2, "commas": 2}
 
 
 def _per(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -113,8 +120,15 @@ class Lines:
         pairs = np.unique(np.stack([word.astype(np.uint64), hashes]), axis=1)[0].astype(np.int64) if len(word) else np.empty(0, np.int64)
         distinct = _per(np.ones(len(pairs)), pairs, n)
         commas = count(data == ord(","))
-        tight = (data == ord(";")) & (data[np.minimum(np.arange(1, len(data) + 1), len(data) - 1)] > 32)
+        following = data[np.minimum(np.arange(1, len(data) + 1), len(data) - 1)]
+        tight = ((data == ord(";")) | (data == ord(","))) & (following > 32)
         cells = np.maximum.reduce([count(data == ord("|")), count(data == 9), count(tight)])
+        # Marks between entries of an inline list: the next word has a capital.
+        mark = np.flatnonzero(np.isin(data[:-3], [ord(c) for c in ",;/"]) & (data[1:-2] == 32))
+        titled = (data[mark + 2] >= 65) & (data[mark + 2] <= 90) & (data[mark + 3] >= 97) if len(mark) else np.empty(0, bool)
+        marked = _per(np.ones(len(mark)), line_of(mark), n)
+        titled = _per(titled.astype(float), line_of(mark), n)
+        inline = (marked >= 2) & (titled >= 0.7 * marked) & (words < 8 * (marked + 1))
         two_blanks = (data[:-2] == 32) & (data[1:-1] == 32) & (data[2:] != 32)
         gaps = count(np.concatenate([two_blanks & (np.concatenate([[10], data[:-3]]) != 10), [False, False]]))
         dots = count(np.concatenate([(data[:-3] == 46) & (data[1:-2] == 46) & (data[2:-1] == 46) & (data[3:] == 46), [False] * 3]))
@@ -139,18 +153,28 @@ class Lines:
         np.minimum.at(first_colon, line_of(at), at)
         sheet = (first_colon - begin < 24) & (words <= 14) & (commons <= 2)
         marker = np.select([bullet | number, episode, path, sheet], [1, 2, 3, 4], 0)
-        separators = np.select([cells >= 2, (gaps >= 2) | (dots > 0), (commas >= 3) & (words < 5 * commas)], [1, 2, 3], 0)
+        separators = np.select([cells >= 2, (gaps >= 2) | (dots > 0), inline], [1, 2, 3], 0)
 
         share = commons / np.maximum(words, 1)
         capital = title / np.maximum(words - commons - shouts - numeric, 1)
+        # The same words as the line before or after, numbers aside.
+        numbered = np.concatenate([[0], np.cumsum(kind == _DIGIT)])
+        plain = np.where(numbered[scan.end] > numbered[scan.begin], np.uint64(0), hashes)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plain, dtype=np.uint64)])
+        bounds = np.searchsorted(word, np.arange(n + 1))
+        said = total[bounds[1:]] - total[bounds[:-1]]
+        text = np.searchsorted(starts, begin, side="right") - 1
+        twin = (said[1:] == said[:-1]) & (said[1:] != 0) & (text[1:] == text[:-1]) & (words[1:] >= 2)
+        repeated = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
         oddity = np.select(
             [
                 marks >= 0.2 * words + 2,
                 (longest > 40) & (words <= 6) | (longest > 100),
                 (words >= 8) & (distinct < 0.5 * np.minimum(words, 40)) & (share < 0.2),
+                repeated & (cells < 2) & (gaps < 2),
                 (pages >= 0.6 * words) & (pages > 0),
             ],
-            [1, 2, 3, 4],
+            [1, 2, 3, 5, 4],
             0,
         )
         last = edges - 1
@@ -169,6 +193,7 @@ class Lines:
             "letters": np.digitize(letters / solid, [0.5, 0.75]),
             "oddity": oddity,
             "ending": ending.astype(int),
+            "commas": (commas > 0).astype(int),
         }
         symbol, scale = np.zeros(n, dtype=np.int64), 1
         for name, size in SIZES.items():
@@ -176,7 +201,7 @@ class Lines:
             scale *= size
         self.symbol = symbol[keep].astype(np.int32)
         self.weight = solid[keep].astype(np.int32)
-        self.text = (np.searchsorted(starts, begin, side="right") - 1)[keep]
+        self.text = text[keep]
         self.words, self.common, self.letters = words[keep], commons[keep], letters[keep]
         self.symbols = (solid - letters - digits)[keep]
         self.word_chars = _per(scan.length.astype(float), word, n)[keep]
@@ -195,17 +220,18 @@ def seed_labels(symbol: np.ndarray) -> np.ndarray:
     """The state that plain rules give a line; -1 where they don't tell."""
     p = parts(symbol)
     common, length, oddity = p["wording"] % 4, p["wording"] // 4, p["oddity"]
-    salad = (length == 3) & (common == 0) & (p["separators"] != 3)
+    salad = (length == 3) & (common == 0) & (p["commas"] == 0)
     rules = [
         ((oddity == 1) | (oddity == 2), 6),
+        (oddity == 5, 9),
         (oddity == 3, 5),
-        ((p["letters"] == 0) & (p["separators"] != 1), 6),
+        ((p["letters"] == 0) & (p["separators"] != 1) & (p["separators"] != 2), 6),
         (oddity == 4, 7),
         (p["separators"] == 1, 3),
         (p["separators"] == 2, 4),
         ((p["marker"] == 2) | (p["marker"] == 3), 1),
         ((p["marker"] == 1) & (length <= 2), 1),
-        ((p["separators"] == 3) & (p["capitals"] >= 1), 2),
+        (p["separators"] == 3, 8),
         ((p["marker"] == 4) & (length <= 1), 4),
         (salad & (p["capitals"] == 0), 5),
         ((common >= 2) & ((length >= 2) | (length == 1) & (p["capitals"] == 0)), 0),

@@ -30,13 +30,26 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
             first, size = i + 1, 0
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII, Latin-1 and Cyrillic letters in lower case."""
+    out = _LOWER[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) | (data[:-1] == 0xD0))
+    if len(lead):
+        first, second = data[lead], data[lead + 1]
+        near = ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)) | ((first == 0xD0) & (second >= 0x90) & (second <= 0x9F))
+        far = (first == 0xD0) & (second >= 0xA0) & (second <= 0xAF)
+        out[lead[near] + 1] += 0x20
+        out[lead[far]] = 0xD1
+        out[lead[far] + 1] -= 0x20
+    return out
+
+
 class Scan:
     """Words of joined texts.
 
     A word is a run of letters and digits; symbols outside ASCII (general
     punctuation, blanks, arrows, boxes) separate like ASCII ones. ``hashes``
-    are those of the words in lower case (ASCII; texts come lowered
-    otherwise).
+    are those of the words in lower case.
     """
 
     def __init__(self, joined: bytes, starts: np.ndarray):
@@ -64,7 +77,7 @@ class Scan:
         power = np.full(int(self.length.max()), _BASE, dtype=np.uint64)
         power[0] = 1
         power = np.cumprod(power)
-        value = (_LOWER[self.data[at]].astype(np.uint64) + np.uint64(1)) * power[depth]
+        value = (_folded(self.data)[at].astype(np.uint64) + np.uint64(1)) * power[depth]
         head = np.cumsum(self.length) - self.length
         mixed = np.add.reduceat(value, head) * _BASE
         return mixed ^ (mixed >> np.uint64(29))
