@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from reelloom.functions.text import let
+from reelloom.session import broadcast_small
 
 RETRIEVE = 0.1
 ACCEPT = 0.92
@@ -159,7 +160,7 @@ def map_values(values: DataFrame, reference: DataFrame, other_names: dict[str, s
     extra = spark.createDataFrame(listed, "name string, other string") if listed else None
     names = reference.select("id", F.col("name").alias("called"), F.lit(True).alias("main"))
     if extra is not None:
-        names = names.unionByName(reference.join(F.broadcast(extra), "name").select("id", F.col("other").alias("called"), F.lit(False).alias("main")))
+        names = names.unionByName(reference.join(broadcast_small(extra), "name").select("id", F.col("other").alias("called"), F.lit(False).alias("main")))
     names = names.withColumn("called", normalised(F.col("called"))).where("called <> ''").groupBy("id", "called").agg(F.max("main").alias("main"))
     index = names.withColumn("gram", F.explode(grams(F.col("called"))))
     total = names.count()
@@ -171,7 +172,7 @@ def map_values(values: DataFrame, reference: DataFrame, other_names: dict[str, s
 
     distinct = values.select("value").where("value is not null").distinct().withColumn("plain", normalised(F.col("value")))
     plains = distinct.select("plain").where("plain <> ''").distinct()
-    asked = plains.withColumn("gram", F.explode(grams(F.col("plain")))).join(F.broadcast(weights), "gram", "left")
+    asked = plains.withColumn("gram", F.explode(grams(F.col("plain")))).join(broadcast_small(weights), "gram", "left")
     lengths = asked.groupBy("plain").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", unseen), F.lit(2)))).alias("length"))
     scored = (
         asked.where("w is not null")
@@ -205,6 +206,6 @@ def map_item_values(items: DataFrame, keys: list[str], column: str, reference: D
     """``keys``, genre_value and collection_id: one row for each distinct value
     of the array ``column`` of an item that isn't exactly a name."""
     listed = items.select(*keys, F.explode(column).alias("value")).where("value is not null").distinct()
-    free = listed.join(F.broadcast(reference.select(F.col("name").alias("value"))), "value", "left_anti")  # the list is bounded by its curators
+    free = listed.join(broadcast_small(reference.select(F.col("name").alias("value"))), "value", "left_anti")
     mapped = map_values(free, reference, other_names)
     return free.join(mapped, "value").select(*keys, F.col("value").alias("genre_value"), F.col("id").alias("collection_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelloom.functions.text import strip_blanks
-from reelloom.session import materialize
+from reelloom.session import broadcast_small, materialize
 
 FIELDS = ("synopsis", "poster", "rating", "tmdb_id")
 SHARED_BY = 3
@@ -110,7 +110,7 @@ def usable_claims(items: DataFrame, sources: DataFrame) -> DataFrame:
     return (
         rows.withColumn("picture", F.when(picture_address(F.col("poster")), strip_blanks(F.col("poster"))))
         .join(shared, "picture", "left")
-        .join(F.broadcast(trust), "source", "left")
+        .join(broadcast_small(trust), "source", "left")
         .select(
             "canonical_id",
             "row_id",

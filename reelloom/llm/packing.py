@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelloom.session import materialize
+from reelloom.session import broadcast_small, materialize
 
 BLOCK = 20_000
 TOKENIZERS = os.environ.get("REELLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -149,7 +149,7 @@ def fill_report(packing: DataFrame, windows: DataFrame) -> DataFrame:
     containers, by window."""
     used = packing.groupBy("window_id").agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
     room = F.col("containers") * F.col("capacity_tokens")
-    return used.join(F.broadcast(windows), "window_id").select(  # a few windows
+    return used.join(broadcast_small(windows), "window_id").select(
         "window_id",
         "capacity_tokens",
         "containers",
