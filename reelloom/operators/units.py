@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from reelloom.functions.infohash import hash_of_delivery
 from reelloom.functions.sizes import declared_factor, name_bytes, size_text_bytes
 from reelloom.functions.text import non_blank
+from reelloom.session import broadcast_small
 
 BINS = 2048
 PASSES = 3
@@ -157,7 +158,7 @@ def _refined(timed: DataFrame, cuts: list[dict]) -> list[dict]:
     near = F.lit(False)
     for c in cuts:
         near = near | F.col("us").between(c["low"], c["high"])
-    inside = timed.where(near).join(F.broadcast(windows), "source").where("us >= low and us < high")
+    inside = timed.where(near).join(broadcast_small(windows), "source").where("us >= low and us < high")
     parts = (
         inside.withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / BINS)))
         .withColumn("bin", F.floor((F.col("us") - F.col("low")) / F.col("width")))
@@ -217,12 +218,12 @@ def unit_factors(records: DataFrame, declared: DataFrame) -> list[dict]:
         bounds = spark.createDataFrame(_bounds(open_), "source string, segment int, start bigint, stop bigint")
         sized = records.where((F.col("size") > 0) & F.col("info_hash").isNotNull())
         truth = (
-            sized.join(F.broadcast(base), "source")  # one row per source
+            sized.join(broadcast_small(base), "source")
             .groupBy("info_hash")
             .agg(F.min(F.struct("factor", (F.col("size") * F.col("factor")).alias("bytes"))).alias("t"))
         )
         probes = (
-            sized.join(F.broadcast(bounds), "source")
+            sized.join(broadcast_small(bounds), "source")
             .where("us >= start and us < stop")
             .select("info_hash", "source", "segment", "size")
             .distinct()
@@ -296,7 +297,7 @@ def sizes_in_bytes(records: DataFrame, sources: DataFrame) -> DataFrame:
         F.coalesce(stated, name_bytes(F.col("name")))
     )
     return (
-        rows.join(F.broadcast(by_source), "source", "left")
+        rows.join(broadcast_small(by_source), "source", "left")
         .select("record_id", value.alias("size_bytes"), F.coalesce(positive & (factor == 1), F.lit(False)).alias("stands"))
         .where("size_bytes > 0")
     )

@@ -136,9 +136,14 @@ def snapshot_items(snapshot: DataFrame, contents: DataFrame, attributes: DataFra
 
 
 def snapshot_summary(items: DataFrame, torrents: DataFrame) -> DataFrame:
-    counts = items.agg(F.count_if(F.col("content_type") == "movie").alias("movies"), F.count_if(F.col("content_type") == "tv_show").alias("shows"))
-    hashes = torrents.agg(F.count_distinct("info_hash").alias("torrents"))
-    return counts.join(hashes)  # one row each
+    """Films, shows and distinct torrents in one pass over both tables."""
+    none = F.lit(None).cast("string")
+    rows = items.select("content_type", none.alias("info_hash")).unionByName(torrents.select(none.alias("content_type"), "info_hash"))
+    return rows.agg(
+        F.count_if(F.col("content_type") == "movie").alias("movies"),
+        F.count_if(F.col("content_type") == "tv_show").alias("shows"),
+        F.count_distinct("info_hash").alias("torrents"),
+    )
 
 
 def browse_page(
