@@ -70,10 +70,10 @@ def backfill_step(state: BackfillState, records: int, fingerprint: str | None, d
 
 
 def reopened(state: BackfillState, min_year: int) -> BackfillState:
-    """A completed walk goes on if the earliest wanted year falls."""
-    if state.completed and min_year <= state.next_year and min_year < state.min_year:
-        return replace(state, min_year=min_year, completed=False, repeated_pages=0)
-    return replace(state, min_year=min_year)
+    """The earliest wanted year only falls; a completed walk then goes on."""
+    if min_year < state.min_year:
+        return replace(state, min_year=min_year, completed=False)
+    return state
 
 
 def advance_cursor(states: DataFrame, source: str, expected: int, following: int, completed: bool) -> DataFrame:
@@ -103,11 +103,11 @@ def job_totals(sources: DataFrame, job: str, counters: list[str]) -> DataFrame:
     return sources.groupBy(job).agg(*[saturated(F.sum(F.coalesce(c, F.lit(0)))).alias(c) for c in counters])
 
 
-def job_status(failed: Column, sources: Column, deferred: Column, saturated_sources: Column) -> Column:
-    """``failed`` if every source failed; ``partial`` if any failed, was
+def job_status(source_failures: Column, sources: Column, failed: Column, deferred: Column, saturated_sources: Column) -> Column:
+    """``failed`` if every source failed; ``partial`` if anything failed, was
     deferred or reached its limit; else ``completed``."""
     return (
-        F.when((sources > 0) & (failed == sources), F.lit("failed"))
+        F.when(source_failures >= sources, F.lit("failed"))
         .when((failed > 0) | (deferred > 0) | (saturated_sources > 0), F.lit("partial"))
         .otherwise(F.lit("completed"))
     )

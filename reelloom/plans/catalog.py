@@ -22,6 +22,7 @@ from reelloom.functions.scalars import (
     normalized_quality,
 )
 from reelloom.operators import fulltext
+from reelloom.operators.merge import merge_episodes
 from reelloom.session import remove_path
 
 KEY = ["content_type", "content_source", "content_id"]
@@ -277,9 +278,12 @@ def show_episodes(rows: DataFrame, files: DataFrame) -> DataFrame:
     """(info_hash, season, episode, file): the episodes of each torrent.
 
     File paths that name an episode count; only a torrent without any falls
-    back to its season map. ``rows``: info_hash and episodes, a map of maps;
-    ``files``: info_hash and path.
+    back to its season map, in which paths of ``episode_files``, if that
+    column is there, replace mere marks. ``rows``: info_hash and episodes, a
+    map of maps; ``files``: info_hash and path.
     """
+    if "episode_files" in rows.columns:
+        rows = rows.withColumn("episodes", merge_episodes(F.col("episodes"), F.col("episode_files")))
     exact = (
         files.select("info_hash", "path", episode_of_path(F.col("path")).alias("e"))
         .where("e is not null")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelloom.operators.merge import fill_text, greatest, insert_missing, keep, merge, merge_episodes, overwrite
-from reelloom.plans import correlate
+from reelloom.operators import jobs
+from reelloom.plans import correlate, links
 from reelloom.plans.catalog import KEY
 from reelloom.plans.derive import ctes, derived
 from reelloom.session import is_folder, scratch_path, table
@@ -143,6 +144,52 @@ ATTACH_SQL = ctes(
 ) + "select content_type, content_source, count(*) as links, sum(seeders)::bigint as seeders, count(video_resolution) as resolutions from rows group by all"
 
 
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as torrents of shows: suppliers are shows, orders torrents."""
+    flag = F.col("l_returnflag")
+    quality = F.when(flag == "R", F.lit("1080p WEB")).when(flag == "A", F.lit("720p"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.lit("tv_show").alias("content_type"), F.lit("butter-a").alias("content_source"), F.col("l_suppkey").cast("string").alias("content_id"),
+        (F.col("l_partkey") * 100 + F.col("l_linenumber") * 10 + F.when(flag == "R", 2).when(flag == "A", 1).otherwise(0)).alias("ordinal"),
+        F.sha1(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"))).alias("info_hash"), quality.alias("quality"),
+        F.col("l_quantity").cast("int").alias("seeders"), F.col("l_linenumber").alias("leechers"),
+        F.when(F.col("l_partkey") % 5 > 0, F.col("l_linenumber")).alias("season"), (F.col("l_partkey") % 5).cast("int").alias("episode"), F.lit(None).cast("string").alias("file"),
+    )
+
+
+def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = links.grouped_links(_delivered(spark, sf_dir))
+    seasons = F.array_join(F.array_sort(F.map_keys("episodes")), ",")
+    return made.select("info_hash", "content_id", "seeders", "leechers", "video_resolution", seasons.alias("seasons"))
+
+
+LINK_GROUPS_SQL = """
+with d as (select sha1('order-' || l_orderkey) as info_hash, cast(l_suppkey as varchar) as content_id, cast(l_quantity as int) as seeders, l_linenumber as leechers,
+    case l_returnflag when 'R' then 'V1080p' when 'A' then 'V720p' end as quality,
+    l_partkey * 100 + l_linenumber * 10 + case l_returnflag when 'R' then 2 when 'A' then 1 else 0 end as ordinal,
+    case when l_partkey % 5 > 0 then cast(l_linenumber as varchar) end as season from lineitem)
+select info_hash, content_id, max(seeders) as seeders, max(leechers) as leechers,
+  (array_agg(quality order by ordinal) filter (where quality is not null))[1] as video_resolution, string_agg(distinct season, ',' order by season) as seasons
+from d group by info_hash, content_id
+"""
+
+
+def resolution_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as downloads to resolve: users of even number are known already."""
+    events = table(spark, sf_dir, "events")
+    pending = events.select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("locator"), F.col("ts").alias("at"), "event_id")
+    cache = events.where("user_id % 2 = 0").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("locator")).distinct()
+    rows = jobs.resolutions(pending, cache.withColumn("info_hash", F.sha1("locator")), [F.col("event_id")], 2)
+    return rows.select("event_id", "outcome")
+
+
+CACHE_SQL = """
+with e as (select *, user_id % 2 = 0 as known from events)
+select event_id, case when known then 'cached' when row_number() over (partition by event_type, date_trunc('hour', ts), known order by event_id) <= 2
+  then 'admitted' else 'deferred' end as outcome from e
+"""
+
+
 def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table's file, or its folder's files, as a stream."""
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
@@ -210,6 +257,8 @@ QUERIES: dict[str, Query] = {
     "pending_reconcile": pending_reconcile,
     "pending_clear": pending_clear,
     "attach_canonical": attach_canonical,
+    "link_groups": link_groups,
+    "resolution_cache": resolution_cache,
     "stream_dedup": stream_dedup,
     "stream_quota": stream_quota,
     "stream_pending": stream_pending,
@@ -227,6 +276,8 @@ SQL: dict[str, str] = {
     "pending_reconcile": RECONCILE_SQL,
     "pending_clear": CLEAR_SQL,
     "attach_canonical": ATTACH_SQL,
+    "link_groups": LINK_GROUPS_SQL,
+    "resolution_cache": CACHE_SQL,
     "stream_dedup": "select distinct event_type, user_id from events",
     "stream_quota": "select event_id, event_type, row_number() over (partition by event_type, date_trunc('hour', ts) order by event_id) <= 2 as admitted from events",
     "stream_pending": ctes() + "select info_hash, content_type, content_source, content_id from links where l_orderkey % 4 > 1 and l_orderkey % 4 <> 3",

@@ -249,13 +249,13 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as the sources of a job."""
     n = lambda i: F.count_if(F.col("event_id") % 7 == i)
     jobs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("sources"), n(0).alias("failed"), n(1).alias("deferred"), n(2).alias("saturated"))
-    return jobs.select("user_id", pacing.job_status(*[F.col(c) for c in ("failed", "sources", "deferred", "saturated")]).alias("status"))
+    return jobs.select("user_id", pacing.job_status(*[F.col(c) for c in ("failed", "sources", "failed", "deferred", "saturated")]).alias("status"))
 
 
 STATUS_SQL = """
 with j as (select user_id, count(*) as n, count(*) filter (event_id % 7 = 0) as f, count(*) filter (event_id % 7 = 1) as d, count(*) filter (event_id % 7 = 2) as s
   from events group by user_id)
-select user_id, case when f = n then 'failed' when f > 0 or d > 0 or s > 0 then 'partial' else 'completed' end as status from j
+select user_id, case when f >= n then 'failed' when f > 0 or d > 0 or s > 0 then 'partial' else 'completed' end as status from j
 """
 
 
