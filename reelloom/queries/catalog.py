@@ -27,7 +27,7 @@ from reelloom.plans.catalog import (
 )
 from reelloom.plans.derive import ctes, derived
 from reelloom.queries.scalars import PARSE_SQL
-from reelloom.session import table
+from reelloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,11 +41,16 @@ def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.repair_exact(contents, attributes, links)
 
 
+def _stored_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlations as a table, as the catalogue keeps them."""
+    return materialize(_correlations(spark, sf_dir), "correlations")
+
+
 def _snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     contents, attributes, genres, torrents, links, torrent_links, providers = derived(
         spark, sf_dir, "contents", "attributes", "genres", "torrents", "links", "torrent_links", "providers"
     )
-    rows = snapshot_torrents(links, _correlations(spark, sf_dir), contents, torrents, torrent_links, providers)
+    rows = snapshot_torrents(links, _stored_correlations(spark, sf_dir), contents, torrents, torrent_links, providers)
     return snapshot_items(rows, contents, attributes, genres), rows
 
 
@@ -301,35 +306,54 @@ from pairs group by content_type, content_source, content_id having count(*) = 1
 """
 
 
-def _pending(links: DataFrame) -> DataFrame:
-    """Links whose torrent's number ends in 3 or 7, as not yet materialised."""
-    return links.where((F.col("l_orderkey") % 10).isin(3, 7) & (F.col("content_source") != "tmdb"))
+def _item_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Contents, attributes, links and torrents from delivered items and works:
+    the rows of a canonical item share a torrent, which has arrived once one of
+    them has a date."""
+    items, works = table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "tmdb_content")
+    key = [F.col("kind").alias("content_type"), F.col("source").alias("content_source"), F.col("id").alias("content_id")]
+    main = [F.col("kind").alias("content_type"), F.lit("tmdb").alias("content_source"), F.col("id").cast("string").alias("content_id")]
+    contents = items.select(*key).unionByName(works.select(*main)).distinct()
+    contents = contents.toDF("type", "source", "id")
+    number = F.trim("tmdb_id")
+    own = items.where((F.col("source") != "tmdb") & number.rlike("^[1-9][0-9]*$")).select(*key, "source", F.lit("tmdb_id").alias("key"), number.alias("value"))
+    imdb = works.where("imdb_id is not null").select(*main, F.lit("tmdb").alias("source"), F.lit("imdb_id").alias("key"), F.col("imdb_id").alias("value"))
+    hashed = F.sha1("canonical_id").alias("info_hash")
+    links = items.where("canonical_id is not null").select(hashed, *key).distinct()
+    torrents = items.where("updated_at is not null and canonical_id is not null").select(hashed).distinct()
+    return contents, own.unionByName(imdb).distinct(), links, torrents
 
 
 def corr_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents, attributes, links, torrents = derived(spark, sf_dir, "contents", "attributes", "links", "torrents")
-    arrived = torrents.where(F.col("o_orderkey") % 10 == 3)
-    return correlate.correlate_pending(_pending(links), arrived, links, contents, attributes)
-
-
-PENDING_SQL = ctes(
-    EXACT_CTES[0],
-    """aliases as (select distinct content_type, content_source, content_id from links
-        where l_orderkey % 10 = 3 and content_source <> 'tmdb' and exists (select 1 from torrents t where t.info_hash = links.info_hash))""",
-    """mine as (select l.* from links l join aliases using (content_type, content_source, content_id))""",
-    """raw as (
-        select m.content_type, m.content_source, m.content_id, c.content_id as canonical_id, m.info_hash, 3 as strength
-        from mine m join links c on c.info_hash = m.info_hash and c.content_type = m.content_type and c.content_source = 'tmdb'
-        union all
-        select m.content_type, m.content_source, m.content_id, c.id, m.info_hash, 1
-        from mine m join attributes x on x.content_type = m.content_type and x.content_source = m.content_source and x.content_id = m.content_id and x.key = 'tmdb_id'
-          join contents c on c.type = m.content_type and c.source = 'tmdb' and c.id = x.value
-        union all
-        select m.content_type, m.content_source, m.content_id, i.content_id, m.info_hash, 2
-        from mine m join main_imdb i on i.content_type = m.content_type and (i.value = m.content_id or exists (
-          select 1 from attributes x where x.content_type = m.content_type and x.content_source = m.content_source and x.content_id = m.content_id
-            and (x.key = 'imdb_id' or (x.source = 'imdb' and x.key = 'id')) and x.value = i.value)))""",
-) + """
+    contents, attributes, links, torrents = _item_tables(spark, sf_dir)
+    return correlate.correlate_pending(links.where("content_source <> 'tmdb'"), torrents, links, contents, attributes)
+
+
+PENDING_SQL = f"""
+with attributes as (
+    select distinct kind as content_type, source as content_source, id as content_id, source, 'tmdb_id' as key, trim(tmdb_id, ' ') as value
+    from catalog_items where source <> 'tmdb' and regexp_matches(trim(tmdb_id, ' '), '^[1-9][0-9]*$')
+    union all select distinct kind, 'tmdb', cast(id as varchar), 'tmdb', 'imdb_id', imdb_id from tmdb_content where imdb_id is not null),
+contents as (select kind as type, source, id from catalog_items union select kind, 'tmdb', cast(id as varchar) from tmdb_content),
+links as (select distinct sha1(canonical_id) as info_hash, kind as content_type, source as content_source, id as content_id from catalog_items where canonical_id is not null),
+torrents as (select distinct sha1(canonical_id) as info_hash from catalog_items where canonical_id is not null and updated_at is not null),
+{EXACT_CTES[0]},
+aliases as (select distinct content_type, content_source, content_id from links where content_source <> 'tmdb' and info_hash in (select info_hash from torrents)),
+mine as (select l.* from links l join aliases using (content_type, content_source, content_id)),
+raw as (
+    select m.content_type, m.content_source, m.content_id, c.content_id as canonical_id, m.info_hash, 3 as strength
+    from mine m join links c on c.info_hash = m.info_hash and c.content_type = m.content_type and c.content_source = 'tmdb'
+    union all
+    select m.content_type, m.content_source, m.content_id, c.id, m.info_hash, 1
+    from mine m join attributes x on x.content_type = m.content_type and x.content_source = m.content_source and x.content_id = m.content_id and x.key = 'tmdb_id'
+      join contents c on c.type = m.content_type and c.source = 'tmdb' and c.id = x.value
+    union all
+    select m.content_type, m.content_source, m.content_id, i.content_id, m.info_hash, 2
+    from mine m join main_imdb i on i.content_type = m.content_type and i.value = m.content_id
+    union all
+    select m.content_type, m.content_source, m.content_id, i.content_id, m.info_hash, 2
+    from mine m join attributes x on x.content_type = m.content_type and x.content_source = m.content_source and x.content_id = m.content_id and x.key = 'imdb_id'
+      join main_imdb i on i.content_type = m.content_type and i.value = x.value)
 select content_type, content_source, content_id, content_type as canonical_type, 'tmdb' as canonical_source, min(canonical_id) as canonical_id,
   min(info_hash) as evidence_info_hash,
   case min(strength) when 1 then 'exact_tmdb_id' when 2 then 'exact_imdb_id' else 'shared_info_hash' end as evidence_kind
@@ -396,7 +420,7 @@ from old o full join correlations n using (content_type, content_source, content
 def _ask_show(asked: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         contents, attributes = derived(spark, sf_dir, "contents", "attributes")
-        return resolve_show(contents, attributes, _correlations(spark, sf_dir), asked)
+        return resolve_show(contents, attributes, _stored_correlations(spark, sf_dir), asked)
 
     return query
 
@@ -428,7 +452,7 @@ def _links_with_episodes(links: DataFrame) -> DataFrame:
 
 def show_torrents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, torrents, torrent_links, providers = derived(spark, sf_dir, "links", "torrents", "torrent_links", "providers")
-    rows = show_torrents(_links_with_episodes(links), _correlations(spark, sf_dir), torrents, torrent_links, providers, *SHOWN)
+    rows = show_torrents(_links_with_episodes(links), _stored_correlations(spark, sf_dir), torrents, torrent_links, providers, *SHOWN)
     return rows.select("info_hash", "torrent_name", "size", "video_resolution", "seeders", "leechers", "provider")
 
 
@@ -614,5 +638,8 @@ SQL: dict[str, str] = {
     + """select content_type, content_source, content_id, min(case when key = 'imdb_id' then value end) as imdb_id,
       min(case when key = 'poster_path' then value end) as poster_path, min(case when key = 'tmdb_id' then value end) as tmdb_id
       from attributes group by all""",
+    "merge_new_only": ctes(*EXACT_CTES)
+    + f"""select * from correlations union all select p.* from ({PENDING_SQL}) p
+      where not exists (select 1 from correlations c where c.content_type = p.content_type and c.content_source = p.content_source and c.content_id = p.content_id)""",
     "keyword_tokens": "select kind, id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g')) as tokens from tmdb_content",
 }
