@@ -39,16 +39,11 @@ def in_phase(jobs: DataFrame, job: int, phase: str) -> DataFrame:
 
 
 def finished(jobs: DataFrame, totals: DataFrame, as_of: Column) -> DataFrame:
-    """Jobs with the totals and status (id, counters, status, error) of those that ended."""
-    ended = totals.withColumn("error", truncated_error(F.col("error"))).withColumn("_ended", F.lit(True))
-    kept = [c for c in jobs.columns if c not in totals.columns or c == "id"]
-    joined = jobs.alias("j").join(ended.alias("t"), "id", "left")
-    out = [
-        F.col(f"j.{c}") if c in kept and c not in ("finished_at", "phase") else F.when(F.col("_ended"), {"finished_at": as_of, "phase": F.lit("finished")}.get(c, F.col(f"t.{c}") if c in totals.columns else F.col(f"j.{c}"))).otherwise(F.col(f"j.{c}"))
-        for c in jobs.columns
-        if c != "id"
-    ]
-    return joined.select("id", *[o.alias(c) for o, c in zip(out, [c for c in jobs.columns if c != "id"])])
+    """Jobs with the totals (id, counters, status, error) of those that ended."""
+    ended = totals.withColumn("error", truncated_error(F.col("error"))).select("id", F.struct(*[c for c in totals.columns if c != "id"]).alias("t"))
+    rows = jobs.join(ended, "id", "left")
+    change = {c: F.col("t")[c] for c in totals.columns if c != "id"} | {"finished_at": as_of, "phase": F.lit("finished")}
+    return rows.withColumns({c: F.when(F.col("t").isNotNull(), v).otherwise(F.col(c)).cast(jobs.schema[c].dataType) for c, v in change.items()}).select(*jobs.columns)
 
 
 def recent(jobs: DataFrame, n: int = 50) -> DataFrame:

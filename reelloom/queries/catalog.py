@@ -137,8 +137,11 @@ SNAPSHOT_SQL = {
 }
 
 
+TORRENT_COLUMNS = ["seeders", "leechers", "torrent_name", "size", "video_resolution", "provider"]
+
+
 def _active(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items and torrents of the active generation, repeats folded."""
+    """Items of the active generation, repeats folded, and its torrents as delivered."""
     ids = [r.id for r in table(spark, sf_dir, "catalog_snapshot_generations").where("active").collect()]  # one row
     items = table(spark, sf_dir, "catalog_snapshot_items").where(F.col("generation_id").isin(ids))
     torrents = table(spark, sf_dir, "catalog_snapshot_torrents").where(F.col("generation_id").isin(ids))
@@ -146,14 +149,19 @@ def _active(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     one = items.groupBy(*KEY).agg(
         F.min(F.struct(*order, "overview", "original_language", "poster_path", "backdrop_path", "genres", "normalized_genres")).alias("v")
     )
-    best = torrents.groupBy(*KEY, "info_hash").agg(
-        F.max(F.struct("seeders", "leechers", "torrent_name", "size", "video_resolution", "provider")).alias("v")
-    )
-    return one.select(*KEY, "v.*"), best.select(*KEY, "info_hash", "v.*")
+    return one.select(*KEY, "v.*"), torrents.select(*KEY, "info_hash", *TORRENT_COLUMNS)
+
+
+def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and torrent, its best; what else the rows have follows from the key."""
+    rest = [c for c in rows.columns if c not in (*keys, "info_hash", *TORRENT_COLUMNS)]
+    best = rows.groupBy(*keys, "info_hash").agg(F.max(F.struct(*TORRENT_COLUMNS)).alias("v"), *[F.first(c).alias(c) for c in rest])
+    return best.select(*keys, "info_hash", *rest, "v.*")
 
 
 def browse_query(spark: SparkSession, sf_dir: str, **choice) -> DataFrame:
-    page = browse_page(*_active(spark, sf_dir), **choice)
+    # Repeated torrents are folded after the page has cut the contents to fifty.
+    page = _folded(browse_page(*_active(spark, sf_dir), **choice), ["page_rank", *KEY])
     return page.select(
         "page_rank", *KEY, "title", "release_year", F.round("vote_average", 4).alias("vote_average"), F.array_join("genres", "|").alias("genres"),
         "info_hash", "torrent_name", "size", "video_resolution", "seeders", "leechers", "provider",
@@ -211,12 +219,12 @@ BROWSES: dict[str, tuple[dict, dict]] = {
 
 
 def browse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue_documents(browse_page(*_active(spark, sf_dir)))
+    return catalogue_documents(_folded(browse_page(*_active(spark, sf_dir)), ["page_rank", *KEY]))
 
 
 def list_quality_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, torrents = _active(spark, sf_dir)
-    keyed = quality_keys(torrents, KEY, [F.col("seeders").desc_nulls_last(), F.col("torrent_name"), F.col("info_hash")])
+    keyed = quality_keys(_folded(torrents, KEY), KEY, [F.col("seeders").desc_nulls_last(), F.col("torrent_name"), F.col("info_hash")])
     return keyed.select(*KEY, "info_hash", "quality_key", F.concat(F.lit("magnet:?xt=urn:btih:"), F.upper("info_hash")).alias("url"))
 
 

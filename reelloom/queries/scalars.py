@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelloom.functions import names, scalars
 from reelloom.functions.infohash import hash_of_delivery, normalize_info_hash
-from reelloom.functions.sizes import size_text_bytes
+from reelloom.functions.sizes import name_bytes, size_text_bytes
 from reelloom.operators import pacing
 from reelloom.operators.merge import first_of_each, unseen
 from reelloom.plans.catalog import BACKDROPS, POSTERS
@@ -91,7 +91,21 @@ select kind, id, substr(sha256(lower(title) || chr(0) || coalesce(release_year,
 
 def size_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "torrent_records").where("size_text is not null")
-    return rows.select("record_id", scalars.page_size_bytes(F.col("size_text")).alias("page_bytes"), size_text_bytes(F.col("size_text")).alias("bytes"))
+    return rows.select("record_id", scalars.page_size_bytes(F.col("size_text")).alias("bytes"))
+
+
+SIZE_SQL = r"""
+with s as (select record_id, regexp_extract(size_text, '(?i)\b(\d+(?:[.,]\d+)?)\s*(bytes?|[kmgt]i?b)\b', ['v', 'u']) as m from torrent_records where size_text is not null),
+f as (select record_id, try_cast(replace(m.v, ',', '.') as decimal(20, 5)) as v, case lower(m.u) when 'byte' then 1 when 'bytes' then 1 when 'kb' then 1000 when 'kib' then 1024
+  when 'mb' then 1000000 when 'mib' then 1048576 when 'gb' then 1000000000 when 'gib' then 1073741824 when 'tb' then 1000000000000 when 'tib' then 1099511627776 end as n from s)
+select record_id, cast(round(v * cast(n as decimal(14, 0))) as bigint) as bytes from f
+"""
+
+
+def size_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in all notations, from size_text and from names."""
+    rows = table(spark, sf_dir, "torrent_records")
+    return rows.select("record_id", size_text_bytes(F.col("size_text")).alias("stated"), name_bytes(F.col("name")).alias("named"))
 
 
 def episode_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "resolution": resolution,
     "stable_id": stable_id,
     "size_text": size_text,
+    "size_statements": size_statements,
     "episode_path": episode_path,
     "hash_normalize": hash_normalize,
     "imdb_test": imdb_test,
@@ -367,6 +382,7 @@ SQL: dict[str, str] = {
     "genre_slug": SLUG_SQL,
     "resolution": RESOLUTION_SQL,
     "stable_id": STABLE_SQL,
+    "size_text": SIZE_SQL,
     "episode_path": EPISODE_SQL,
     "hash_normalize": HASH_SQL,
     "imdb_test": "select row_id, coalesce(regexp_matches(id, '^tt[0-9]{5,}$'), false) as imdb from catalog_items",
