@@ -14,8 +14,6 @@ third of all rows costs no more than others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
