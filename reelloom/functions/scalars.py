@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelloom.functions.text import let, non_blank
 
+# Known resolutions, the one to prefer first.
 RESOLUTIONS = ("2160p", "1080p", "720p", "480p")
 INT_MAX = 2**31 - 1
 # Units of sizes in page texts.
@@ -14,8 +15,10 @@ PAGE_UNITS = {
     "byte": 1, "bytes": 1, "kb": 10**3, "kib": 2**10, "mb": 10**6, "mib": 2**20,
     "gb": 10**9, "gib": 2**30, "tb": 10**12, "tib": 2**40,
 }
+# A size in a page text, and episode marks of a path.
 PAGE_SIZE_TEXT = r"(?i)\b(\d+(?:[.,]\d+)?)\s*(bytes?|[kmgt]i?b)\b"
 EPISODE_MARK = r"(?i)s(\d{1,3})[ ._-]*e(\d{1,3})|(\d{1,3})x(\d{1,3})"
+# Words for true and false.
 TRUE_WORDS = ("1", "true", "yes", "on")
 FALSE_WORDS = ("0", "false", "no", "off")
 

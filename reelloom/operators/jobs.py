@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelloom.functions.scalars import INT_MAX, truncated_error
+from reelloom.operators.pacing import hourly_quota
 
+# Most items of a search, and of an immediate batch.
 SEARCH_LIMIT = 1000
 BATCH = 250
 
@@ -78,8 +80,6 @@ def resolutions(pending: DataFrame, cache: DataFrame, order: list[Column], limit
     """``pending`` (source, locator, at) with ``outcome``: cached ones don't
     count, of the others the first ``limit`` of a source and hour are
     admitted, the rest deferred. ``cache``: source, locator, info_hash."""
-    from reelloom.operators.pacing import hourly_quota
-
     known = pending.join(cache, ["source", "locator"], "left")
     hits = known.where("info_hash is not null").withColumn("outcome", F.lit("cached"))
     misses = hourly_quota(known.where("info_hash is null"), "source", "at", order, limit)

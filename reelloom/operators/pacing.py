@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelloom.functions.scalars import saturated
 
+# Fixed value: equal pages in a row after which a walk ends.
 MAX_REPEATED_PAGES = 2
 
 

@@ -15,7 +15,6 @@ further aggregates. No group of rows reaches one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -26,6 +26,7 @@ from reelloom.operators.merge import merge_episodes
 from reelloom.session import remove_path
 
 KEY = ["content_type", "content_source", "content_id"]
+# Contents of a page, and where relative picture paths lead.
 PAGE_SIZE = 50
 POSTERS, BACKDROPS = "https://image.tmdb.org/t/p/w500", "https://image.tmdb.org/t/p/w1280"
 # The orders of browse pages; every order ends in the content's key.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelloom.functions.names import parse_release_name, titles_match, years_match
+from reelloom.functions.names import normalized_title, parse_release_name, titles_match, years_match
 from reelloom.functions.scalars import is_imdb_id
 from reelloom.operators.merge import first_of_each
 
@@ -85,8 +85,6 @@ def title_matches(wanted: DataFrame, titles: DataFrame) -> DataFrame:
     sides are keyed by such runs: the shorter one's first run is one of the
     longer one's runs. That makes the test an equality join.
     """
-    from reelloom.functions.names import normalized_title
-
     run = 8
     runs = lambda t: F.when(F.length(t) >= run, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - run + 1), lambda i: F.substring(t, i, F.lit(run))))).otherwise(F.array(t))
     first = lambda t: F.array(F.substring(t, 1, run))
