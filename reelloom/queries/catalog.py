@@ -33,7 +33,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def micros(column: str) -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp")).alias(column)
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column)).alias(column)
 
 
 def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
