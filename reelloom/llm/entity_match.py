@@ -9,7 +9,8 @@ and word count are compared exactly, and the cosine of a pair is calibrated to
 a confidence.
 
 Size: the vectors have a fixed number of rows and are fitted on about
-``FIT_FORMS`` forms; every form of either side is hashed. Only distinct forms
+``FIT_FORMS`` forms; every form of either side is hashed, with the same planes
+at every size. Buckets of many works are split without loss. Only distinct forms
 meet, records join the result by form, and decisions need a few numbers per
 form, kind and year.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelloom.llm.titles import MOST_SLIPS, parse_release, title_distance, work_forms
-from reelloom.session import materialize
+from reelloom.session import broadcast_small, materialize
 
 TOKENS = 1 << 14
 WORD_NODES = 1 << 12
@@ -39,10 +40,12 @@ WALKS, STEPS = 60_000, 6
 MOST_NORM = 4.0
 # Tables of hyperplanes by part: (part, tables, planes of each).
 TABLES = (("title", 4, 18), ("name", 1, 24), ("head", 1, 24), ("tail", 1, 24))
-# Works up to which these hold; beyond, titles get a plane for each doubling (24 at most) and halves a letter for each twentyfold.
+# For ``Vectors.sized_for`` only.
 BASE_WORKS = 100_000
 MOST_PLANES = 24
 FREQUENT = 0.002  # a word in a larger share of the forms names no work
+BIG_BUCKET = 256  # a bucket of more works is split by what a slip changes by one at most
+SPLIT = 3  # values in a part of a split bucket
 
 
 def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,8 @@ class Vectors:
         self.longer = 0
 
     def sized_for(self, works: int) -> Vectors:
-        """Finer buckets for many works, so that these stay small."""
+        """Finer buckets for many works. They lose pairs with slips, so matching
+        keeps its planes and halves at every size; see ``_met``."""
         more = max(0.0, math.log2(max(1, works) / BASE_WORKS))
         self.planes = {part: min(MOST_PLANES, planes + round(more)) for part, _, planes in TABLES}
         self.longer = round(more / math.log2(20))
@@ -256,6 +260,35 @@ def fitted_vectors(*sides: DataFrame, limit: int = FIT_FORMS) -> Vectors:
     return Vectors.fit(sorted(set(rows)))
 
 
+def _split_values(form: str) -> tuple[Column, Column]:
+    """Length, and how many letters are not of every second one: a slip changes
+    either by one at most, so within ``MOST_SLIPS`` both are nearly equal."""
+    return F.length(form), F.length(F.translate(form, "acegikmoqsuwy", ""))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(form, number, work_form) of the pairs of one bucket whose split values
+    allow ``MOST_SLIPS``; a pair may repeat.
+
+    A bucket of more than ``BIG_BUCKET`` works is cut by both values into parts
+    of ``SPLIT``; a record's form goes to all parts within its reach, so the
+    pairs are the same as those of the whole bucket.
+    """
+    right = materialize(right, "hashed")
+    big = broadcast_small(right.groupBy("key").agg(F.count(F.lit(1)).alias("works")).where(F.col("works") > BIG_BUCKET).select("key", F.lit(True).alias("big")))
+    part = lambda v: F.floor(v / SPLIT).cast("int")
+    reach = lambda v: F.sequence(part(v - MOST_SLIPS), part(v + MOST_SLIPS))
+    whole = F.lit(-1)
+    a, b = _split_values("work_form")
+    works = right.join(big, "key", "left").select("key", "work_form", *(F.when(F.col("big"), part(v)).otherwise(whole).alias(n) for v, n in ((a, "a"), (b, "b"))))
+    c, d = _split_values("form")
+    asked = left.join(big, "key", "left")
+    for v, n in ((c, "a"), (d, "b")):
+        asked = asked.withColumn(n, F.explode(F.when(F.col("big"), reach(v)).otherwise(F.array(whole))))
+    near = (F.abs(a - c) <= MOST_SLIPS) & (F.abs(b - d) <= MOST_SLIPS)
+    return asked.join(works, ["key", "a", "b"]).where(near).select("form", "number", "work_form")
+
+
 def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -> DataFrame:
     """(form, number, work_form, slips, cosine) of the candidate pairs whose
     letters are near; slips above ``MOST_SLIPS`` mean different titles.
@@ -267,9 +300,8 @@ def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -
     left = _hashed(record_side, vectors, slipped=True)
     right = _hashed(work_side, vectors, slipped=False).select(F.col("form").alias("work_form"), "key")
     near = (
-        left.join(right, "key")
+        _met(left, right)
         .where(F.levenshtein("form", "work_form", 2 * MOST_SLIPS) >= 0)
-        .select("form", "number", "work_form")
         .distinct()
     )
 
@@ -334,7 +366,7 @@ def matched(records: DataFrame, works: DataFrame) -> DataFrame:
     parsed = materialize(record_forms(records), "parsed")
     titles = materialize(work_table(works), "titles")
     asked, listed = (materialize(t.select("form", "number").distinct(), "forms") for t in (parsed, titles))
-    vectors = fitted_vectors(listed, asked).sized_for(listed.count())
+    vectors = fitted_vectors(listed, asked)
     pairs = materialize(form_pairs(asked, listed, vectors), "scored")
     slope, intercept = calibration(pairs)
     # One shuffle by form serves all that follows up to the join with the records.

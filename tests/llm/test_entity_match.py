@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from reelloom.llm import entity_match
 from reelloom.llm.entity_match import Vectors, matched
 from reelloom.llm.titles import parse_release, slips, title_distance, title_form, work_forms, words_of
 
@@ -99,3 +100,20 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "A Film 2000", "", 0)], RECORDS)
     works = spark.createDataFrame([("movie", 1, "A Film", None, None, 2000, 0, "")], WORKS)
     assert matched(some.limit(0), works).count() == 0 and matched(some, works.limit(0)).count() == 0
+
+
+LETTERS = "bcdfghklmnprstvz"
+
+
+def test_pairs_do_not_depend_on_the_number_of_works(spark, monkeypatch):
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice(LETTERS) + rng.choice("aeiou") for _ in range(6 + i % 2)) for i in range(300)})
+    works = spark.createDataFrame([("movie", i, n.title(), None, None, 2000, 0, "") for i, n in enumerate(names)], WORKS)
+    records = spark.createDataFrame([(i, f"{slip(rng, slip(rng, n))}.2000.1080p", "", 0) for i, n in enumerate(names)], RECORDS)
+    found = lambda: sorted(map(tuple, matched(records, works).collect()))
+    expected = found()
+    # As many works as 600 million would be.
+    monkeypatch.setattr(entity_match, "BASE_WORKS", 0.05)
+    assert found() == expected and len(expected) > 200
+    monkeypatch.setattr(entity_match, "BIG_BUCKET", 0)
+    assert found() == expected
