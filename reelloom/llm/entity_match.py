@@ -44,6 +44,7 @@ TABLES = (("title", 4, 18), ("name", 1, 24), ("head", 1, 24), ("tail", 1, 24))
 BASE_WORKS = 100_000
 MOST_PLANES = 24
 FREQUENT = 0.002  # a word in a larger share of the forms names no work
+FAR_KEPT = 8  # of the pairs above MOST_SLIPS one in so many has a cosine and counts as so many
 BIG_BUCKET = 256  # a bucket of more works is split by what a slip changes by one at most
 SPLIT = 3  # values in a part of a split bucket
 
@@ -290,12 +291,13 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -> DataFrame:
-    """(form, number, work_form, slips, cosine) of the candidate pairs whose
-    letters are near; slips above ``MOST_SLIPS`` mean different titles.
+    """(form, number, work_form, slips, cosine, same) of the candidate pairs
+    whose letters are near.
 
-    ``record_side`` and ``work_side`` have distinct form and number. A word
-    that the works know and the other title lacks is no slip, so such pairs
-    are left out.
+    ``record_side`` and ``work_side`` have distinct form and number. Pairs of
+    more than ``MOST_SLIPS`` slips aren't the same title; nor is a pair with a
+    word that the works know and the other title lacks, which is no slip. Of
+    pairs above ``MOST_SLIPS`` one in ``FAR_KEPT`` has a cosine.
     """
     left = _hashed(record_side, vectors, slipped=True)
     right = _hashed(work_side, vectors, slipped=False).select(F.col("form").alias("work_form"), "key")
@@ -310,9 +312,9 @@ def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -
             pdf = pdf.copy()
             pairs = list(zip(pdf["form"], pdf["work_form"]))
             pdf["slips"] = np.array([title_distance(a, b) for a, b in pairs], dtype=np.int32)
-            # Equal forms have cosine 1; of different titles one in eight is enough to calibrate.
+            # Equal forms have cosine 1; of far pairs one in FAR_KEPT is enough to calibrate, as it counts for all.
             cosine = np.where(pdf["slips"] == 0, 1.0, np.nan)
-            need = [i for i, (a, b) in enumerate(pairs) if a != b and (pdf["slips"].iat[i] <= MOST_SLIPS or zlib.crc32(f"{a}/{b}".encode()) % 8 == 0)]
+            need = [i for i, (a, b) in enumerate(pairs) if a != b and (pdf["slips"].iat[i] <= MOST_SLIPS or zlib.crc32(f"{a}/{b}".encode()) % FAR_KEPT == 0)]
             if need:
                 sides = [vectors.of([pairs[i][k] for i in need]) for k in (0, 1)]
                 cosine[need] = (sides[0] * sides[1]).sum(axis=1)
@@ -327,27 +329,29 @@ def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -
         compared.where("slips > 0")
         .select("form", "number", "work_form", F.explode("odd").alias("word"))
         .join(vocabulary, "word", "left_semi")
-        .select("form", "number", "work_form")
+        .select("form", "number", "work_form", F.lit(True).alias("other"))
         .distinct()
     )
-    return compared.drop("odd").join(other, ["form", "number", "work_form"], "left_anti")
+    same = (F.col("slips") <= MOST_SLIPS) & F.col("other").isNull()
+    return compared.drop("odd").join(other, ["form", "number", "work_form"], "left").withColumn("same", same).drop("other")
 
 
 def calibration(pairs: DataFrame, limit: int = FIT_PAIRS) -> tuple[float, float]:
     """Slope and intercept of the logistic curve from cosine to the chance
-    that a candidate pair is one title, fitted on about ``limit`` pairs."""
-    rows = _sample(pairs.where("cosine is not null").select("cosine", (F.col("slips") <= MOST_SLIPS).cast("double").alias("y"), "form"), "form", limit)
+    that a candidate pair is one title, fitted on about ``limit`` pairs. A far
+    pair stands for all of ``FAR_KEPT``."""
+    stands_for = F.when(F.col("slips") <= MOST_SLIPS, 1.0).otherwise(float(FAR_KEPT)).alias("weight")
+    rows = _sample(pairs.where("cosine is not null").select("cosine", F.col("same").cast("double").alias("y"), stands_for, "form"), "form", limit)
     rows.sort()
-    x = np.array([r[0] for r in rows])
-    y = np.array([r[1] for r in rows])
+    x, y, weight = (np.array([r[k] for r in rows]) for k in range(3))
     # One imagined pair of each kind keeps the curve finite.
-    x, y = np.concatenate([x, [1.0, 0.5]]), np.concatenate([y, [1.0, 0.0]])
+    x, y, weight = np.concatenate([x, [1.0, 0.5]]), np.concatenate([y, [1.0, 0.0]]), np.concatenate([weight, [1.0, 1.0]])
     design = np.stack([x, np.ones_like(x)], axis=1)
     theta = np.zeros(2)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        grade = design.T @ (y - p) - 1e-3 * theta
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        grade = design.T @ (weight * (y - p)) - 1e-3 * theta
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         theta = theta + np.linalg.solve(curve, grade)
     return float(theta[0]), float(theta[1])
 
@@ -370,7 +374,7 @@ def matched(records: DataFrame, works: DataFrame) -> DataFrame:
     pairs = materialize(form_pairs(asked, listed, vectors), "scored")
     slope, intercept = calibration(pairs)
     # One shuffle by form serves all that follows up to the join with the records.
-    good = pairs.where(F.col("slips") <= MOST_SLIPS).join(titles.withColumnRenamed("form", "work_form"), ["work_form", "number"])
+    good = pairs.where("same").join(titles.withColumnRenamed("form", "work_form"), ["work_form", "number"])
     near = good.repartition("form", "number").withColumn("least", F.min("slips").over(Window.partitionBy("form", "number")))
     options = (
         near.where("slips = least")

@@ -117,3 +117,18 @@ def test_pairs_do_not_depend_on_the_number_of_works(spark, monkeypatch):
     assert found() == expected and len(expected) > 200
     monkeypatch.setattr(entity_match, "BIG_BUCKET", 0)
     assert found() == expected
+
+
+def test_calibration_counts_all_far_pairs(spark):
+    rng = np.random.default_rng(2)
+    size = 8000
+    slipped = np.arange(size) % 4 == 0  # a fourth within reach, and half of those with a word that the works know
+    same = slipped & (np.arange(size) % 8 == 0)
+    cosine = np.clip(rng.normal(np.where(same, 0.8, 0.7), 0.1), -1, 1)
+    kept = slipped | (np.cumsum(~slipped) % 8 == 0)
+    rows = [(f"f{i}", 1 if slipped[i] else 3, float(cosine[i]) if kept[i] else None, bool(same[i])) for i in range(size)]
+    kept_share = (kept & ~slipped).sum() / (~slipped).sum()
+    assert kept_share == 1 / 8
+    slope, intercept = entity_match.calibration(spark.createDataFrame(rows, "form string, slips int, cosine double, same boolean"))
+    said = 1 / (1 + np.exp(-(slope * cosine + intercept)))
+    assert abs(said.mean() - same.mean()) < 0.02
