@@ -5,8 +5,8 @@ forms, their words and character n-grams train skip-gram vectors of the
 n-grams; a text's vector is the weighted sum of its n-grams'. Several tables
 of random hyperplanes over the vectors of the whole title, of its name words
 and of their halves put forms into buckets; forms of one bucket, sequel number
-and word count are compared exactly, and the cosine of a pair is calibrated to
-a confidence.
+and word count are compared letter by letter. Slips alone accept and rank a
+pair; its cosine is only calibrated to a confidence.
 
 Size: the vectors have a fixed number of rows and are fitted on about
 ``FIT_FORMS`` forms; every form of either side is hashed, with the same planes
