@@ -6,10 +6,10 @@ probe finds its block in the directory, and only probed blocks are decoded. A
 set answers "no" for certain, and "yes" wrongly with probability ``2**-bits``.
 
 Keys are spread over hash buckets of about ``KEYS_PER_BUCKET``; arrivals are
-cut into ``EPOCHS`` stretches, each with a set per bucket. A record probes the
-sets of all stretches before its own. Repeats of a key within one stretch
-collapse in a partial aggregate before any shuffle, so a key that holds a
-third of all rows costs no more than others.
+cut into ``EPOCHS`` stretches of about as many records, each with a set per
+bucket. A record probes the sets of all stretches before its own. Repeats of a
+key within one stretch collapse in a partial aggregate before any shuffle, so a
+key that holds a third of all rows costs no more than others.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from reelloom.functions.text import non_blank
 from reelloom.session import materialize
 
 KEYS_PER_BUCKET = 50_000
-EPOCHS = 8
+EPOCHS = 32
+QUANTILE_ERROR = 1e-3  # of all records; a stretch is off by at most twice that
 BITS = 12
 BLOCK = 128
 
@@ -178,13 +179,15 @@ def keyed_records(records: DataFrame) -> DataFrame:
 def arrivals(records: DataFrame, ingested: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with their epoch, and the distinct keys of every epoch.
 
-    Epoch 0 holds the keys ingested before; the others cut the range of
-    record_id evenly, whatever the order of rows.
+    Epoch 0 holds the keys ingested before; the others cut the records at
+    quantiles of record_id, whatever the order of rows.
     """
-    low, high, n = records.agg(F.min("record_id"), F.max("record_id"), F.count(F.lit(1))).first()
-    span = max(1, (high or 0) - (low or 0) + 1)
-    width = -(-span // EPOCHS)
-    rows = keyed_records(records).withColumn("epoch", (F.floor((F.col("record_id") - F.lit(low or 0)) / width) + 1).cast("int"))
+    shares = [k / EPOCHS for k in range(1, EPOCHS)]
+    n, ends = records.agg(F.count(F.lit(1)), F.percentile_approx("record_id", shares, int(1 / QUANTILE_ERROR))).first()
+    epoch = F.lit(1)
+    for end in sorted(set(ends or [])):
+        epoch = epoch + (F.col("record_id") > end).cast("int")
+    rows = keyed_records(records).withColumn("epoch", epoch)
     before = ingested.select(
         F.lit(-1).cast("bigint").alias("record_id"),
         non_blank(F.col("source")).alias("source"),
@@ -234,12 +237,16 @@ def seen_before(records: DataFrame, ingested: DataFrame) -> DataFrame:
 
 def wrong_answers(records: DataFrame, ingested: DataFrame, bits: int = BITS) -> DataFrame:
     """How often the sets alone are wrong, by epoch: distinct keys probed, keys
-    never seen before, false positives, the rate in theory and as audited."""
+    never seen before, false positives, the rate in theory and as audited; and
+    the records of the keys, those the fold decides as repeats within the epoch,
+    their share of all repeats, and the audited rate by record."""
     _, keys = arrivals(records, ingested)
     checked = _checked(keys).groupBy("epoch").agg(
         F.count_if("confirmed").alias("true_positives"), F.count_if(~F.col("confirmed")).alias("false_positives")
     )
-    probes = keys.where("epoch > 0").groupBy("epoch").agg(F.count(F.lit(1)).alias("keys_probed"))
+    probes = keys.where("epoch > 0").groupBy("epoch").agg(
+        F.count(F.lit(1)).alias("keys_probed"), F.sum("n").alias("records"), F.sum(F.col("n") - 1).alias("folded_records")
+    )
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
         probes.join(checked, "epoch", "left")
@@ -248,4 +255,6 @@ def wrong_answers(records: DataFrame, ingested: DataFrame, bits: int = BITS) ->
         .withColumn("new_keys", F.col("keys_probed") - F.col("true_positives"))
         .withColumn("theoretical_rate", 1 - F.pow(F.lit(1 - 2.0**-bits), F.col("epoch")))
         .withColumn("audited_rate", F.col("false_positives") / F.greatest(F.col("new_keys"), F.lit(1)))
+        .withColumn("folded_share", F.col("folded_records") / F.greatest(F.col("folded_records") + F.col("true_positives"), F.lit(1)))
+        .withColumn("audited_record_rate", F.col("false_positives") / F.col("records"))
     )

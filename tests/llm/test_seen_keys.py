@@ -75,3 +75,15 @@ def test_empty(spark):
     assert [r.record_id for r in seen_before(one, some).collect()] == [7]
     assert seen_before(one, some.limit(0)).count() == 0
     assert wrong_answers(one, some).first().true_positives == 1
+
+
+def test_a_far_record_leaves_the_stretches_even(spark):
+    # Every key comes twice, half of all records apart; one record_id is far off.
+    records = [(i, "a", f"{i % 1600:040x}", "", 0) for i in range(3200)] + [(10**12, "a", f"{5:040x}", "", 0)]
+    records = spark.createDataFrame(records, SCHEMA)
+    none = spark.createDataFrame([], "source string, info_hash string")
+    audit = wrong_answers(records, none).collect()
+    assert len(audit) > 8 and max(r.records for r in audit) < 3201 / 8
+    assert sum(r.true_positives for r in audit) == 1601 and sum(r.folded_records for r in audit) == 0
+    found = sorted(r.record_id for r in seen_before(records, none).collect())
+    assert found == [*range(1600, 3200), 10**12]
