@@ -1,94 +1,94 @@
 """Evaluation texts that leak into a corpus.
 
-Wu-Manber multi-pattern search over words: the patterns are all windows of
-``WINDOW`` words of the evaluation texts. A table gives for each block of two
-words how far the window may move on; where it is zero, the hash of the whole
-window selects the patterns to compare. Many stretches of text are searched in
-step, so each step is one array operation. Places of one item are then joined
-along their offset and compared with it word by word.
-
-The corpus is read once and not shuffled. Evaluation texts are few; their
-pattern tables go to every task and are limited to ``MOST_WORDS`` words.
+Wu-Manber multi-pattern search over words: the patterns are all windows of a
+few words of the evaluation texts. A table gives for each block of two words
+how far the window may move on; where it is zero, the hash of the whole window
+selects the patterns to compare. Many stretches of text are searched in step,
+so each step is one array operation. Places of one item are then joined along
+their offset, and what they cover is compared with the item letter by letter.
+
+Windows have ``WINDOW`` words, in items of up to ``SHORT`` words one less: half
+of an item in two stretches, one word in eight exchanged, always holds one.
+Items of fewer than ``WHOLE`` words are searched whole.
+
+The corpus isn't shuffled. Evaluation texts are few; their pattern tables go to
+every task. Beyond ``PART_WORDS`` words they are searched in parts, each with a
+scan of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelloom.llm.wordscan import Scan, chunks, hash_words
+from reelloom.llm.wordscan import Scan, chunks, hash_words, words_in
 
 WINDOW = 4
+SHORT = 20
+WHOLE = 9
 LANES = 4096
 TABLE_BITS = 18
 EXCHANGED = 8  # at most one word in so many is exchanged
-MOST_WORDS = 5_000_000
+PART_WORDS = 1_000_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def without_markup(text: Column) -> Column:
-    """Lower-case text without tags, entities and invisible characters."""
-    bare = F.regexp_replace(text, r"</?[A-Za-z!][^<>]{0,300}>|\[/?[A-Za-z]{1,10}(?:=[^\[\]]{0,200})?\]|&(?:[A-Za-z]{2,8}|#\d{1,6});", " ")
-    return F.translate(F.lower(bare), "­​‌‍⁠﻿", "")
-
+    """Lower-case text without tags, entities and invisible characters.
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    """A hash of the two words ending at each place."""
-    before = np.concatenate([[np.uint64(0)], words[:-1]])
-    return (before * _MIX) ^ words
+    No part of a pattern is given back, so the time is linear in the text.
+    """
+    bare = F.regexp_replace(text, r"</?+[A-Za-z!][^<>]*+>|\[/?+[A-Za-z]++(?:=[^\[\]]*+)?+\]|&(?:[A-Za-z][A-Za-z0-9]*+|#[0-9]++|#[Xx][0-9A-Fa-f]++);", " ")
+    return F.translate(F.lower(bare), "­​‌‍⁠﻿", "")
 
 
-def _windows(words: np.ndarray) -> np.ndarray:
-    """A hash of the ``WINDOW`` words ending at each place from WINDOW - 1 on."""
-    total = words[: len(words) - WINDOW + 1].copy()
-    for k in range(1, WINDOW):
-        total = total * _MIX ^ words[k : len(words) - WINDOW + 1 + k]
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` words in a row."""
+    n = max(0, len(words) - size + 1)
+    total = words[:n].copy()
+    for k in range(1, size):
+        total = total * _MIX ^ words[k : n + k]
     return total
 
 
-class Patterns:
-    """Shift table and windows of the evaluation texts."""
+class Windows:
+    """Shift table and sorted windows of ``size`` words of some items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.words = [hash_words(t) for _, t in items]
-        if sum(map(len, self.words)) > MOST_WORDS:
-            raise ValueError(f"more than {MOST_WORDS} words of evaluation text; search them in parts")
-        self.shift = np.full(1 << TABLE_BITS, WINDOW - 1, dtype=np.int8)
+    def __init__(self, size: int, items: list[tuple[int, np.ndarray]]):
+        self.size, self.block = size, min(2, size)
+        self.shift = np.full(1 << TABLE_BITS, size - self.block + 1, dtype=np.int8)
         keys, owner, at = [], [], []
-        for n, w in enumerate(self.words):
-            if len(w) < WINDOW:
-                continue
-            pair = self._slot(_pairs(w))
-            for k in range(1, WINDOW):  # a pair that ends k words into a window
-                places = pair[k : len(w) - WINDOW + 1 + k]
-                np.minimum.at(self.shift, places, WINDOW - 1 - k)
-            keys.append(_windows(w))
-            owner.append(np.full(len(keys[-1]), n))
-            at.append(np.arange(len(keys[-1])))
-        key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        for n, words in items:
+            places = len(words) - size + 1
+            slot = self._slot(words)
+            for k in range(size - self.block + 1):  # a block that starts k words into a window
+                np.minimum.at(self.shift, slot[k : places + k], size - self.block - k)
+            keys.append(_windows(words, size))
+            owner.append(np.full(places, n))
+            at.append(np.arange(places))
+        key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.owner = np.concatenate(owner)[order] if keys else np.empty(0, np.int64)
-        self.at = np.concatenate(at)[order] if keys else np.empty(0, np.int64)
+        self.key, self.owner, self.at = key[order], np.concatenate(owner)[order], np.concatenate(at)[order]
 
-    @staticmethod
-    def _slot(pair: np.ndarray) -> np.ndarray:
-        return ((pair * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def _slot(self, words: np.ndarray) -> np.ndarray:
+        """The table entry of each block."""
+        return ((_windows(words, self.block) * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the window's first word, item, place in the item)."""
         none = (np.empty(0, np.int64),) * 3
-        if len(words) < WINDOW or not len(self.key):
+        size = self.size
+        if len(words) < size:
             return none
-        shift = self.shift[self._slot(_pairs(words))]
-        last = len(words) - 1
-        lane = max(WINDOW, -(-len(words) // LANES))
-        place = np.arange(WINDOW - 1, last + 1, lane)
+        shift = self.shift[self._slot(words)]
+        last = len(shift) - 1
+        lane = max(size, -(-len(words) // LANES))
+        place = np.arange(size - self.block, last + 1, lane)  # of a window's last block
         stop = np.minimum(place + lane - 1, last)
         hits = []
         while len(place):
@@ -100,9 +100,9 @@ class Patterns:
         found = np.sort(np.concatenate(hits))
         if not len(found):
             return none
-        first = found - (WINDOW - 1)
+        first = found - (size - self.block)
         whole = words[first].copy()
-        for k in range(1, WINDOW):
+        for k in range(1, size):
             whole = whole * _MIX ^ words[first + k]
         low = np.searchsorted(self.key, whole, side="left")
         count = np.searchsorted(self.key, whole, side="right") - low
@@ -112,56 +112,104 @@ class Patterns:
         return first[row], self.owner[pick], self.at[pick]
 
 
-def stretches(item: np.ndarray, words: np.ndarray, offset: int) -> list[tuple[int, int]]:
-    """(from, to) of the item's stretches that ``words`` repeats at ``offset``:
-    they start and end with equal words, hold ``WINDOW`` equal words in a row,
-    and exchange single words, at most one in ``EXCHANGED``."""
-    a, b = max(0, -offset), min(len(item), len(words) - offset)
-    same = item[a:b] == words[a + offset : b + offset]
+class Patterns:
+    """The evaluation texts, by the size of their windows."""
+
+    def __init__(self, items: list[tuple[int, str]], least: float = 0.5):
+        self.ids = [i for i, _ in items]
+        self.texts = [words_in(t) for _, t in items]
+        self.words = [hash_words(t) for _, t in items]
+        self.least = np.array([1.0 if len(w) < WHOLE else least for w in self.words])
+        self.size = [min(WINDOW, len(w)) if not WHOLE <= len(w) <= SHORT else WINDOW - 1 for w in self.words]
+        half = np.array([int(np.ceil(len(w) * x)) for w, x in zip(self.words, self.least)], dtype=np.int64)
+        exchanged, size = half // EXCHANGED, np.array(self.size, dtype=np.int64)
+        # So many windows remain of the least repeated words, in two stretches with all exchanges.
+        self.needed = np.maximum(1, half - exchanged * size - 2 * (size - 1))
+        sizes = sorted({s for s in self.size if s})
+        self.tables = [Windows(s, [(n, w) for n, w in enumerate(self.words) if self.size[n] == s]) for s in sizes]
+
+    def search(self, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, place in the item) of the windows that lie in one text."""
+        found = []
+        for t in self.tables:
+            place, owner, at = t.search(words)
+            inside = text[place + t.size - 1] == text[place]
+            found.append((place[inside], owner[inside], at[inside]))
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+
+
+def stretches(same: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(from, to, exchanged) of the stretches in ``same``, which tells the equal
+    words at one offset: they start and end with equal words, hold ``size``
+    equal words in a row, and exchange single words, at most one in
+    ``EXCHANGED`` of all."""
     edge = np.diff(same.astype(np.int8), prepend=0, append=0)
-    begin, end = np.flatnonzero(edge == 1) + a, np.flatnonzero(edge == -1) + a
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out = []
     for i in range(len(begin)):
-        exchanged, long = 0, False
+        long = False
         for j in range(i, len(begin)):
-            if j > i:
-                if begin[j] - end[j - 1] > 1:
-                    break
-                exchanged += 1
-            long = long or end[j] - begin[j] >= WINDOW
-            if long and exchanged * EXCHANGED <= end[j] - begin[i]:
-                out.append((int(begin[i]), int(end[j])))
+            if j > i and begin[j] - end[j - 1] > 1 or (j - i) * EXCHANGED > len(same):
+                break
+            long = long or end[j] - begin[j] >= size
+            if long:
+                out.append((int(begin[i]), int(end[j]), j - i))
     return out
 
 
-def repeated_share(item: np.ndarray, words: np.ndarray, offsets: list[int]) -> float:
-    """Largest share of the item's words that ``words`` repeats in their order
-    in one or two stretches."""
-    found = [(a, b, a + o, b + o) for o in offsets for a, b in stretches(item, words, o)]
-    best = max((b - a for a, b, _, _ in found), default=0)
-    for a, b, c, d in found:
-        for e, f, g, h in found:
-            if e >= b and g >= d:
-                best = max(best, b - a + f - e)
-            elif a <= e < b < f and c <= g < d < h and e - a != g - c:
-                # Overlapping stretches at two offsets: cut where that keeps most.
-                cut = max(b, e + max(0, d - g))
-                best = max(best, b - a + max(0, f - cut))
-    return best / max(1, len(item))
+def repeated_share(found: list[tuple[int, int, int, int]], length: int) -> float:
+    """Largest share of an item's ``length`` words in one or two stretches,
+    given as (from, to, exchanged, offset), in the item's order.
+
+    Of a stretch that a document repeats, the first place counts before and
+    the last after another, so the work follows the item's length, however
+    often the document repeats it.
+    """
+    if not found:
+        return 0.0
+    ends: dict[tuple[int, int, int], list[int]] = {}
+    for a, b, x, o in found:
+        low_high = ends.setdefault((a, b, x), [o, o])
+        low_high[0], low_high[1] = min(low_high[0], o), max(low_high[1], o)
+    a, b, x = (np.array(v, dtype=np.int64) for v in zip(*ends))
+    low, high = (np.array(v, dtype=np.int64) for v in zip(*ends.values()))
+    best = int(np.max(np.where(x * EXCHANGED <= b - a, b - a, 0)))
+    for i in range(len(a)):
+        # Where the two overlap, in item or document, the later one is cut.
+        start = np.maximum(np.maximum(a, b[i]), b[i] + low[i] - high)
+        total = np.where(start < b, b[i] - a[i] + b - start, 0)
+        total = np.where((x + x[i]) * EXCHANGED <= total, total, 0)
+        best = max(best, int(total.max()))
+    return best / max(1, length)
+
+
+def _parts(items: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]:
+    """Texts in parts of about ``words`` words at most, or of a single text."""
+    texts = items.where("text is not null").select("item_id", without_markup(F.col("text")).alias("text"))
+    counted = texts.agg(F.sum(F.size(F.split("text", r"[^\\p{L}\\p{N}]+")))).first()[0]
+    parts = -(-(counted or 0) // words)
+    for k in range(parts):
+        mine = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        yield [tuple(r) for r in mine.collect()]  # about ``words`` words
 
 
-def leaked(corpus: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
+def leaked(corpus: DataFrame, items: DataFrame, least: float = 0.5, part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, item_id, share) of documents that repeat at least ``least`` of
     an item's words, in their order, in one or two stretches.
 
-    Case, punctuation, spacing and markup don't count. Items shorter than
-    ``WINDOW`` words and null texts match nothing. Repeated rows of the corpus
+    Case, punctuation, spacing and markup don't count. A stretch holds
+    ``WINDOW`` equal words in a row (one less in items of up to ``SHORT``
+    words). Items of fewer than ``WHOLE`` words must be repeated whole. Null
+    texts and texts without words match nothing. Repeated rows of the corpus
     give repeated results; of equal items each is named.
     """
-    rows = items.where("text is not null").select("item_id", without_markup(F.col("text"))).collect()  # evaluation texts: few by nature, see MOST_WORDS
-    patterns = Patterns([(r[0], r[1]) for r in rows])
-    needed = np.array([max(1, -(-int(len(w) * least) // 2) - 2 * (WINDOW - 1)) for w in patterns.words], dtype=np.int64)
+    texts = corpus.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), without_markup(F.col("text")).alias("text"))
+    schema = "doc_id bigint, item_id bigint, share double"
+    found = [texts.mapInArrow(_searcher(Patterns(part, least)), schema) for part in _parts(items, part_words)]
+    return reduce(DataFrame.unionByName, found) if found else corpus.sparkSession.createDataFrame([], schema)
+
 
+def _searcher(patterns: Patterns):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -169,18 +217,17 @@ def leaked(corpus: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame
             for first, _, joined, starts in chunks(batch.column(1)):
                 scan = Scan(joined, starts)
                 words = scan.hashes
-                place, owner, at = patterns.search(words)
+                place, owner, at = patterns.search(words, scan.text)
                 text = scan.text[place]
-                inside = scan.text[np.minimum(place + WINDOW - 1, len(words) - 1)] == text if len(place) else text
-                place, owner, at, text = place[inside], owner[inside], at[inside], text[inside]
                 pair, index, count = np.unique(text * len(patterns.ids) + owner, return_inverse=True, return_counts=True)
-                for p in np.flatnonzero(count >= needed[pair % max(1, len(patterns.ids))]):
+                by_pair = np.argsort(index, kind="stable")
+                edges = np.concatenate([[0], np.cumsum(count)])
+                for p in np.flatnonzero(count >= patterns.needed[pair % len(patterns.ids)]):
                     t, n = divmod(int(pair[p]), len(patterns.ids))
                     low, high = np.searchsorted(scan.text, [t, t + 1])
-                    mine = index == p
-                    offsets = np.unique(place[mine] - low - at[mine]).tolist()
-                    got = repeated_share(patterns.words[n], words[low:high], offsets)
-                    if got >= least:
+                    mine = by_pair[edges[p] : edges[p + 1]]
+                    got = _share(patterns, n, scan, words, low, high, np.unique(place[mine] - low - at[mine]))
+                    if got >= patterns.least[n]:
                         doc.append(ids[first + t])
                         item.append(patterns.ids[n])
                         share.append(got)
@@ -189,5 +236,21 @@ def leaked(corpus: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame
                     [pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"]
                 )
 
-    texts = corpus.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), without_markup(F.col("text")).alias("text"))
-    return texts.mapInArrow(search, "doc_id bigint, item_id bigint, share double")
+    return search
+
+
+def _share(patterns: Patterns, n: int, scan: Scan, words: np.ndarray, low: int, high: int, offsets: np.ndarray) -> float:
+    """Share of item ``n`` that the text from word ``low`` to ``high`` repeats.
+    Words of equal hash are compared by their letters."""
+    item, letters = patterns.words[n], patterns.texts[n]
+    found = []
+    for o in offsets.tolist():
+        a, b = max(0, -o), min(len(item), high - low - o)
+        same = item[a:b] == words[low + a + o : low + b + o]
+        edge = np.diff(same.astype(np.int8), prepend=0, append=0)
+        for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            at = low + a + o
+            if scan.letters(at + i, at + j) != b"".join(letters[a + i : a + j]):
+                same[i:j] = [letters[a + k] == scan.letters(at + k, at + k + 1) for k in range(i, j)]
+        found += [(a + i, a + j, x, o) for i, j, x in stretches(same, patterns.size[n]) if x * EXCHANGED <= len(item)]
+    return repeated_share(found, len(item))

@@ -68,6 +68,14 @@ class Scan:
         self.length = self.end - self.begin
         self.text = np.searchsorted(starts, self.begin, side="right") - 1
 
+    def letters(self, i: int, j: int) -> bytes:
+        """Words ``i`` to ``j - 1`` in lower case, with a blank after each."""
+        part = slice(self.begin[i], self.end[j - 1])
+        inside = self.mask[part]
+        # One separator is kept after each word.
+        kept = inside | np.concatenate([[False], inside[:-1]])
+        return np.where(inside, _folded(self.data[part]), 32)[kept].astype(np.uint8).tobytes() + b" "
+
     @property
     def hashes(self) -> np.ndarray:
         if not len(self.begin):
@@ -86,3 +94,9 @@ class Scan:
 def hash_words(text: str) -> np.ndarray:
     joined = text.encode("utf-8", "replace") + b"\n"
     return Scan(joined, np.zeros(1, dtype=np.int64)).hashes
+
+
+def words_in(text: str) -> list[bytes]:
+    """The words of a text in lower case, with a blank after each."""
+    scan = Scan(text.encode("utf-8", "replace") + b"\n", np.zeros(1, dtype=np.int64))
+    return [scan.letters(i, i + 1) for i in range(len(scan.begin))]
