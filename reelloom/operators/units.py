@@ -1,15 +1,18 @@
 """Quantities recorded in different units, brought to bytes.
 
 Each source's history of log values is cut into segments of constant level by
-exact penalised changepoint search (optimal partitioning with pruning); levels
-that differ by a known factor mark a change of unit. What unit a segment has
-follows from the unit its source declares, from records of the same thing at
-sources whose unit is known, or from its level.
-
-Size: the search runs over at most ``BINS`` time bins per source, each with
-count, sum and sum of squares, so its cost is exact for cuts at bin edges;
-the bins beside a cut are then split into ``BINS`` parts ``PASSES`` times by
-further aggregates. No group of rows reaches one task.
+exact penalised changepoint search (optimal partitioning with pruning). A shift
+between two levels that matches a ratio of known units marks a change of unit;
+any other shift is one of the sizes themselves and is left alone. What unit a
+run of segments has follows from the unit its source declares, from records of
+the same thing at sources whose unit is known, or from its level.
+
+Size: a source's history is first binned at quantiles of its own times, so
+neither other sources nor stray times matter. The search runs over the bins'
+count, sum and sum of squares. Bins beside a cut, and bins whose scatter leaves
+room for a change inside, are split and the search repeated until no bin of
+several times is left in doubt. Rows are only aggregated, never grouped into one
+task; a task sees the bins of one source, and the driver whether any is in doubt.
 """
 
 from __future__ import annotations
@@ -18,21 +21,27 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelloom.functions.infohash import hash_of_delivery
 from reelloom.functions.sizes import declared_factor, name_bytes, size_text_bytes
 from reelloom.functions.text import non_blank
-from reelloom.session import broadcast_small
+from reelloom.session import broadcast_small, materialize
 
-BINS = 2048
-PASSES = 3
-ROWS_PER_CUT = 5
+BINS = 512  # of a source's history at first
+PARTS = 512  # of bins in doubt, for each of a source's rounds
+FEWEST = 5  # rows of a level; fewer can't be told from senseless sizes
 # Bytes per unit.
 FACTORS = [1, 1000, 1024, 1000**2, 1024**2, 1000**3, 1024**3, 1000**4, 1024**4]
+RATIOS = sorted({abs(math.log(a / b)) for a in FACTORS for b in FACTORS if a >= 500 * b})
 MEDIAN_OF_SQUARE = 0.455  # of a squared standard normal
-SMALLEST_SHIFT = math.log(1000) / 2
+TOLERANCE = math.log(2)  # of a level shift from a ratio of units
+MOST_TOLERANCE = math.log(1000) / 4
+LEVEL_TOLERANCE = math.log(1000) / 3  # of a run's level from that of known sources
+FAR = 1 << 62
+# A row of edges has up to BINS + PARTS times for each round.
+BROADCAST_SOURCES = 1000
 
 
 def changepoints(n: np.ndarray, total: np.ndarray, squares: np.ndarray, penalty: float) -> list[int]:
@@ -64,209 +73,195 @@ def changepoints(n: np.ndarray, total: np.ndarray, squares: np.ndarray, penalty:
     return starts[::-1]
 
 
-def _segments_of(bins: pd.DataFrame) -> pd.DataFrame:
-    """Segments of one source: neighbours whose levels differ by less than
-    half the smallest unit factor are one."""
-    bins = bins.sort_values("bin", kind="stable")
-    n, total, squares = (bins[c].to_numpy(float) for c in ("n", "total", "squares"))
+def _parts_of(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> tuple[list[int], np.ndarray, float]:
+    """Starts of the segments, which bins are in doubt, and the rows' variance."""
     # Rows of one level scatter this much; neighbouring bins tell, and a few changes don't disturb the median.
     mean = total / n
     scatter = np.diff(mean) ** 2 / (1 / n[1:] + 1 / n[:-1])
     variance = max(0.05, float(np.median(scatter)) / MEDIAN_OF_SQUARE) if len(scatter) else 1.0
     penalty = 4 * variance * math.log(max(3.0, n.sum()))
     starts = changepoints(n, total, squares, penalty)
-    levels: list[list] = []  # first and last bin, count, sum
-    for a, b in zip(starts, [*starts[1:], len(n)]):
-        part = [a, b - 1, n[a:b].sum(), total[a:b].sum()]
-        if levels and part[2] < ROWS_PER_CUT:
-            levels[-1][1] = part[1]  # outliers
-        elif levels and abs(part[3] / part[2] - levels[-1][3] / levels[-1][2]) < SMALLEST_SHIFT:
-            levels[-1][1:] = [part[1], levels[-1][2] + part[2], levels[-1][3] + part[3]]
-        else:
-            levels.append(part)
-    level = lambda x: x[3] / x[2]
-    # A single bin between two levels holds rows of both: the cut lies in it.
-    levels = [
-        x
-        for i, x in enumerate(levels)
-        if not (0 < i < len(levels) - 1 and x[0] == x[1] and min(level(levels[i - 1]), level(levels[i + 1])) < level(x) < max(level(levels[i - 1]), level(levels[i + 1])))
-    ]
-    edges = bins["bin"].to_numpy()
+    inner = squares - total * total / n
+    usual = np.median(inner[n > 1] / (n[n > 1] - 1)) if (n > 1).any() else variance
+    doubt = inner - (n - 1) * usual > penalty
+    cuts = np.array(starts[1:], dtype=np.int64)
+    doubt[cuts] = True
+    doubt[cuts - 1] = True
+    return starts, doubt, variance
+
+
+def _matches(shift: float, error: float) -> bool:
+    """Whether a level shift is a ratio of units, up to the levels' own error."""
+    slack = min(MOST_TOLERANCE, max(TOLERANCE, 3 * error))
+    return min(abs(abs(shift) - r) for r in RATIOS) <= slack
+
+
+def _runs(n: np.ndarray, level: np.ndarray, variance: float) -> np.ndarray:
+    """The run of one unit each segment belongs to, by number.
+
+    A shift is judged from the segment before and from the run's largest
+    segment; segments of fewer than ``FEWEST`` rows belong to their run.
+    """
+    run = np.zeros(len(n), dtype=np.int64)
+    largest = before = -1
+    for i in range(len(n)):
+        run[i] = run[i - 1] if i else 0
+        if n[i] < FEWEST:
+            continue
+        if largest >= 0:
+            error = lambda k: math.sqrt(variance * (1 / n[k] + 1 / n[i]))
+            if any(_matches(level[i] - level[k], error(k)) for k in {before, largest}):
+                run[i] += 1
+                largest = i
+        if largest < 0 or n[i] > n[largest]:
+            largest = i
+        before = i
+    return run
+
+
+BIN_SCHEMA = "source string, first_us bigint, last_us bigint, n bigint, segment int, run int, level double, split int"
+
+
+def _searched(bins: pd.DataFrame) -> pd.DataFrame:
+    """The bins of one source with their segment, its run and level, and into
+    how many parts each is to be split."""
+    bins = bins.sort_values("first_us", kind="stable")
+    n, total, squares = (bins[c].to_numpy(float) for c in ("n", "total", "squares"))
+    starts, doubt, variance = _parts_of(n, total, squares)
+    segment = np.repeat(np.arange(len(starts)), np.diff([*starts, len(n)]))
+    rows = np.bincount(segment, n)
+    level = np.bincount(segment, total) / rows
+    doubt &= (bins["last_us"] > bins["first_us"]).to_numpy()
+    parts = max(2, PARTS // max(1, int(doubt.sum())))
     return pd.DataFrame(
         {
-            "source": bins["source"].iloc[0],
-            "segment": np.arange(len(levels)),
-            "first_bin": [int(edges[x[0]]) for x in levels],
-            "last_bin": [int(edges[x[1]]) for x in levels],
-            "n": [int(x[2]) for x in levels],
-            "level": [level(x) for x in levels],
+            "source": bins["source"],
+            "first_us": bins["first_us"],
+            "last_us": bins["last_us"],
+            "n": bins["n"],
+            "segment": segment.astype(np.int32),
+            "run": _runs(rows, level, variance)[segment].astype(np.int32),
+            "level": level[segment],
+            "split": np.where(doubt, parts, 1).astype(np.int32),
         }
     )
 
 
-def segment_sources(history: DataFrame) -> list[dict]:
-    """Segments of every source: source, segment, start_us, n, level.
+def _place(edges: Column, at: Column, most: int) -> Column:
+    """How many of the sorted ``edges`` are not after ``at``, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.get(edges, p + s - 1) <= at, p + s).otherwise(p))
 
-    ``history`` has source, us (bigint) and size. The result has a few rows
-    per source; it goes to the driver, which needs it to plan the refinement.
+
+def history_segments(history: DataFrame) -> DataFrame:
+    """Segments of every source: source, segment, run, start, n, level.
+
+    ``history`` has source, us (bigint) and size; ``start`` is the time of the
+    segment's first row. Rows without any of the three don't count.
     """
     timed = history.where(F.col("us").isNotNull() & F.col("source").isNotNull() & (F.col("size") > 0)).select(
         "source", "us", F.log(F.col("size").cast("double")).alias("x")
     )
-    span = timed.agg(F.min("us"), F.max("us")).first()
-    if span[0] is None:
-        return []
-    width = max(1, (span[1] - span[0]) // BINS + 1)
-    bins = _binned(timed, F.lit(span[0]), F.lit(width))
-    found = bins.groupBy("source").applyInPandas(
-        _segments_of, "source string, segment int, first_bin bigint, last_bin bigint, n bigint, level double"
+    quantiles = F.percentile_approx("us", [k / BINS for k in range(BINS)], 10 * BINS)
+    edges = materialize(timed.groupBy("source").agg(F.array_distinct(F.array_sort(quantiles)).alias("edges")), "edges")
+    while True:
+        most = edges.agg(F.max(F.size("edges"))).first()[0] or 1
+        binned = timed.join(broadcast_small(edges, BROADCAST_SOURCES), "source").withColumn("bin", _place(F.col("edges"), F.col("us"), most))
+        bins = binned.groupBy("source", "bin").agg(
+            F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("x").alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares")
+        )
+        found = materialize(bins.groupBy("source").applyInPandas(_searched, BIN_SCHEMA), "bins")
+        if not found.where("split > 1").limit(1).count():
+            break
+        width = (F.col("last_us") - F.col("first_us")) / F.col("split")
+        cut = F.transform(F.sequence(F.lit(0), F.col("split") - 1), lambda k: F.col("first_us") + F.ceil(k * width).cast("bigint"))
+        # The time after a bin in doubt is an edge too, so a bin of one time stays alone.
+        inside = F.when(F.col("split") > 1, F.concat(cut, F.array("last_us"))).otherwise(F.array("first_us"))
+        edges = materialize(found.groupBy("source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(inside)))).alias("edges")), "edges")
+    return found.groupBy("source", "segment").agg(
+        F.min("run").alias("run"), F.min("first_us").alias("start"), F.sum("n").alias("n"), F.first("level").alias("level")
     )
-    segments = [r.asDict() for r in found.orderBy("source", "segment").collect()]
-    previous: dict | None = None
-    cuts = []
-    for s in segments:
-        s["start_us"] = None
-        if s["segment"]:
-            low, high = (span[0] + at * width for at in (previous["last_bin"], s["first_bin"] + 1))
-            cuts.append(s | {"before": previous["level"], "low": low, "high": high})
-        previous = s
-    for _ in range(PASSES if cuts else 0):
-        cuts = _refined(timed, cuts)
-    start = {(c["source"], c["segment"]): c["cut"] for c in cuts}
-    for s in segments:
-        s["start_us"] = start.get((s["source"], s["segment"]))
-    return segments
-
-
-def _binned(timed: DataFrame, low: Column, width: Column) -> DataFrame:
+
+
+def _unit_runs(segments: DataFrame) -> DataFrame:
+    """source, run, start, stop, n, level, levels, runs: stretches of one unit,
+    the level of their largest segment and those of all."""
+    by_source = Window.partitionBy("source")
     return (
-        timed.withColumn("bin", F.floor((F.col("us") - low) / width))
-        .groupBy("source", "bin")
-        .agg(F.count("x").alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares"))
+        segments.groupBy("source", "run")
+        .agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.max_by("level", F.struct("n", -F.col("segment"))).alias("level"), F.collect_list("level").alias("levels"))
+        .withColumn("stop", F.coalesce(F.lead("start").over(by_source.orderBy("run")), F.lit(FAR)))
+        .withColumn("start", F.when(F.lag("run").over(by_source.orderBy("run")).isNull(), F.lit(-FAR)).otherwise(F.col("start")))
+        .withColumn("runs", F.count(F.lit(1)).over(by_source))
     )
 
 
-def _refined(timed: DataFrame, cuts: list[dict]) -> list[dict]:
-    """Each cut moved to the edge between two of ``BINS`` parts of its interval
-    that best separates the two levels, and the interval narrowed around it."""
-    spark = timed.sparkSession
-    windows = spark.createDataFrame(
-        [(c["source"], c["segment"], c["low"], c["high"], c["before"], c["level"]) for c in cuts],
-        "source string, segment int, low bigint, high bigint, before double, after double",
-    )  # one row per cut
-    near = F.lit(False)
-    for c in cuts:
-        near = near | F.col("us").between(c["low"], c["high"])
-    inside = timed.where(near).join(broadcast_small(windows), "source").where("us >= low and us < high")
-    parts = (
-        inside.withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / BINS)))
-        .withColumn("bin", F.floor((F.col("us") - F.col("low")) / F.col("width")))
-        .groupBy("source", "segment", "bin")
-        .agg(F.sum(F.pow(F.col("x") - F.col("before"), 2) - F.pow(F.col("x") - F.col("after"), 2)).alias("gain"))
-        .collect()  # at most BINS rows per cut
-    )
-    by_cut: dict = {}
-    for source, segment, at, gain in parts:
-        by_cut.setdefault((source, segment), []).append((at, gain))
-    out = []
-    for c in cuts:
-        rows = sorted(by_cut.get((c["source"], c["segment"]), []))
-        width = max(1, math.ceil((c["high"] - c["low"]) / BINS))
-        # Cost of cutting before row k: gains of the rows before it, which then stay at the old level.
-        costs = np.concatenate([[0.0], np.cumsum([g for _, g in rows])])
-        k = int(np.argmin(costs))
-        cut = c["low"] + rows[k][0] * width if k < len(rows) else c["high"]
-        # A bin can hold rows of both levels, so both bins beside the cut are looked into again.
-        low = c["low"] + rows[k - 1][0] * width if k else cut
-        out.append(c | {"cut": cut, "low": low, "high": min(c["high"], cut + width)})
-    return out
-
-
-def unit_factors(records: DataFrame, declared: DataFrame) -> list[dict]:
-    """Bytes per unit of each segment of each source.
+def unit_factors(records: DataFrame, declared: DataFrame) -> DataFrame:
+    """Bytes per unit of each run of each source: source, run, start, stop,
+    level, factor.
 
     ``records``: source, us, size, info_hash; ``declared``: source, factor.
-    A source of one level has the unit it declares. Otherwise, and where no
-    unit is declared, the factor is the one under which most of the segment's
-    records agree with records of the same hash at sources of a declared
-    single unit; without such records, the one that brings the segment's level
-    nearest to theirs, a declared unit of the same size first. Without any
-    declared source the largest level is taken for bytes.
+    A source of one run has the unit it declares. Otherwise, and where no unit
+    is declared, the factor is the one under which most of the run's records
+    agree with records of the same hash at sources of a declared single unit,
+    among those that bring a level of the run nearest to theirs; without such
+    records the nearest, a declared unit of the same size first. A level that
+    no factor brings within ``LEVEL_TOLERANCE`` and no record confirms has no
+    factor. Without any declared source the largest level is taken for bytes.
     """
-    segments = segment_sources(records)
-    spark = records.sparkSession
-    stated = {r[0]: int(r[1]) for r in declared.where("source is not null and factor is not null").collect()}  # one row per source
-    count: dict[str, int] = {}
-    for s in segments:
-        count[s["source"]] = count.get(s["source"], 0) + 1
-    for s in segments:
-        s["factor"] = stated.get(s["source"]) if count[s["source"]] == 1 else None
-    known = [s for s in segments if s["factor"]]
-    open_ = [s for s in segments if not s["factor"]]
-    if not open_:
-        return segments
-    weight = sum(s["n"] for s in known)
-    usual = (
-        sum(s["n"] * (s["level"] + math.log(s["factor"])) for s in known) / weight
-        if known
-        else max(s["level"] for s in open_)
+    runs = materialize(_unit_runs(history_segments(records)).join(broadcast_small(declared.withColumnRenamed("factor", "stated")), "source", "left"), "runs")
+    single = (F.col("runs") == 1) & F.col("stated").isNotNull()
+    known = runs.where(single).withColumn("factor", F.col("stated").cast("bigint"))
+    open_ = runs.where(~single)
+    weighted = F.sum(F.col("n") * (F.col("level") + F.log(F.col("factor").cast("double")))) / F.sum("n")
+    usual = known.agg(weighted).first()[0]
+    if usual is None:
+        usual = open_.agg(F.max("level")).first()[0] or 0.0
+    sized = records.where((F.col("size") > 0) & F.col("info_hash").isNotNull())
+    truth = (
+        sized.join(broadcast_small(known.select("source", "factor")), "source")
+        .groupBy("info_hash")
+        .agg(F.min(F.struct("factor", (F.col("size") * F.col("factor")).alias("bytes"))).alias("t"))
     )
-    votes: dict[tuple, dict[int, int]] = {}
-    if known:
-        base = spark.createDataFrame([(s["source"], s["factor"]) for s in known], "source string, factor bigint")
-        bounds = spark.createDataFrame(_bounds(open_), "source string, segment int, start bigint, stop bigint")
-        sized = records.where((F.col("size") > 0) & F.col("info_hash").isNotNull())
-        truth = (
-            sized.join(broadcast_small(base), "source")
-            .groupBy("info_hash")
-            .agg(F.min(F.struct("factor", (F.col("size") * F.col("factor")).alias("bytes"))).alias("t"))
-        )
-        probes = (
-            sized.join(broadcast_small(bounds), "source")
-            .where("us >= start and us < stop")
-            .select("info_hash", "source", "segment", "size")
-            .distinct()
-        )
-        slack = [(F.lit(f) + F.col("t.factor")) * 0.5 + 0.5 for f in FACTORS]
-        agrees = [
-            F.count_if(F.abs(F.col("size") * F.lit(f).cast("double") - F.col("t.bytes")) <= slack[i]).alias(f"f{i}")
+    probes = (
+        sized.join(broadcast_small(open_.select("source", "run", "start", "stop")), "source")
+        .where("us >= start and us < stop")
+        .select("info_hash", "source", "run", "size")
+        .distinct()
+    )
+    agrees = [
+        F.count_if(F.abs(F.col("size") * F.lit(f).cast("double") - F.col("t.bytes")) <= (F.lit(f) + F.col("t.factor")) * 0.5 + 0.5)
+        for f in FACTORS
+    ]
+    votes = probes.join(truth, "info_hash").groupBy("source", "run").agg(F.array(*agrees).alias("votes"), F.count(F.lit(1)).alias("asked"))
+    nearest = lambda goal: F.array_min(F.transform("levels", lambda x: F.abs(x - F.lit(goal))))
+    apart = F.array(*[nearest(usual - math.log(f)) for f in FACTORS])
+    # A wide unit's slack swallows small differences, so only factors of the level's size compete.
+    ranked = F.array(
+        *[
+            F.when(
+                F.col("apart")[i] < F.array_min("apart") + math.log(1.2),
+                F.struct(
+                    F.coalesce(F.col("votes")[i], F.lit(0)).alias("votes"), F.coalesce(F.col("stated") == f, F.lit(False)).alias("stated_"), (-F.col("apart")[i]).alias("near"), F.lit(f).cast("bigint").alias("factor")
+                ),
+            )
             for i, f in enumerate(FACTORS)
         ]
-        for r in probes.join(truth, "info_hash").groupBy("source", "segment").agg(*agrees).collect():  # one row per segment
-            votes[(r[0], r[1])] = {f: r[2 + i] for i, f in enumerate(FACTORS)}
-    for s in open_:
-        apart = {f: abs(s["level"] + math.log(f) - usual) for f in FACTORS}
-        near = min(apart.values())
-        likely = [f for f in FACTORS if apart[f] < near + math.log(1.2)]
-        seen = votes.get((s["source"], s["segment"]), {})
-        prefer = stated.get(s["source"])
-        # A wide unit's slack swallows small differences, so only factors of the level's size compete.
-        s["factor"] = max(likely, key=lambda f: (seen.get(f, 0), f == prefer, -apart[f]))
-    return segments
-
-
-def _bounds(segments: list[dict]) -> list[tuple]:
-    far = 1 << 62
-    by_source: dict[str, list[dict]] = {}
-    for s in segments:
-        by_source.setdefault(s["source"], []).append(s)
-    return [
-        (s["source"], s["segment"], -far if s["start_us"] is None else s["start_us"], rest["start_us"] if rest else far)
-        for group in by_source.values()
-        for s, rest in zip(group, [*group[1:], None])
-    ]
-
+    )
+    confirmed = (F.col("best.votes") >= 3) & (F.col("best.votes") * 2 >= F.col("asked"))
+    near = -F.col("best.near") <= LEVEL_TOLERANCE
+    learned = (
+        open_.join(votes, ["source", "run"], "left")
+        .withColumn("apart", apart)
+        .withColumn("best", F.array_max(ranked))
+        .withColumn("factor", F.when(near | F.coalesce(confirmed, F.lit(False)), F.col("best.factor")))
+    )
+    columns = ["source", "run", "start", "stop", "level", "factor"]
+    return known.select(*columns).unionByName(learned.select(*columns))
 
-def sizes_in_bytes(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """record_id, size_bytes and whether ``size`` holds those bytes already.
 
-    A positive ``size`` comes first, in the unit of its source's segment; then
-    the size stated by size_text, then by name. Rows without a source, and
-    rows whose size can't be known, are absent. A row without a time belongs
-    to the segment of its source whose level its size is nearest to.
-    ``records`` may have further columns; repeated rows give repeated results.
-    """
-    spark = records.sparkSession
+def _cleaned(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records with a source, their history, and the declared units."""
     rows = records.select(
         "record_id",
         non_blank(F.col("source")).alias("source"),
@@ -277,26 +272,50 @@ def sizes_in_bytes(records: DataFrame, sources: DataFrame) -> DataFrame:
         F.unix_micros(F.col("observed_at").cast("timestamp")).alias("us"),
     ).where("source is not null")
     declared = sources.select(non_blank(F.col("key")).alias("source"), declared_factor(F.col("size_unit")).alias("factor"))
-    declared = declared.groupBy("source").agg(F.min("factor").alias("factor"))
-    history = rows.select("source", "us", "size", hash_of_delivery(F.col("info_hash")).alias("info_hash"))
-    segments = unit_factors(history, declared)
-    table = [(*b, float(s["level"]), int(s["factor"])) for b, s in zip(_bounds(segments), segments)]
-    units = spark.createDataFrame(
-        table, "source string, segment int, start bigint, stop bigint, level double, factor bigint"
-    )
-    # A few segments per source.
+    declared = declared.where("source is not null").groupBy("source").agg(F.min("factor").alias("factor"))
+    hashed = F.unhex(hash_of_delivery(F.col("info_hash"))).alias("info_hash")
+    # Read in every round of the search, so written once, in binary.
+    history = materialize(rows.where("size > 0").select("source", "us", "size", hashed), "history")
+    return rows, history, declared
+
+
+def level_shifts(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """What the search found: source, segment, n, level, its shift from the
+    segment before, and whether that changes the unit or only the sizes."""
+    _, history, _ = _cleaned(records, sources)
+    order = Window.partitionBy("source").orderBy("segment")
+    segments = history_segments(history)
+    shift = F.col("level") - F.lag("level").over(order)
+    return segments.select("source", "segment", "n", "level", shift.alias("shift"), F.coalesce(F.col("run") > F.lag("run").over(order), F.lit(False)).alias("unit_change"))
+
+
+def sizes_in_bytes(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """record_id, size_bytes and whether ``size`` holds those bytes already.
+
+    A positive ``size`` comes first, in the unit of its source's run; then,
+    also where that unit can't be known, the size stated by size_text, then by
+    name. Rows without a source, and rows whose size can't be known, are
+    absent. A row without a time belongs to the run of its source whose level
+    its size is nearest to; a source without any time has the unit it declares.
+    ``records`` may have further columns; repeated rows give repeated results.
+    """
+    rows, history, declared = _cleaned(records, sources)
+    units = materialize(unit_factors(history, declared), "units")
+    # A few runs per source.
     by_source = units.groupBy("source").agg(F.collect_list(F.struct("start", "stop", "level", "factor")).alias("units"))
+    by_source = by_source.join(broadcast_small(declared.withColumnRenamed("factor", "stated")), "source", "full")
     x = F.log(F.col("size").cast("double"))
     timed = F.filter("units", lambda u: (F.col("us") >= u["start"]) & (F.col("us") < u["stop"]))[0]["factor"]
     likely = F.array_min(F.transform("units", lambda u: F.struct(F.abs(x - u["level"]), u["factor"].alias("factor"))))["factor"]
-    factor = F.when(F.col("us").isNotNull(), timed).otherwise(likely)
-    positive = F.col("size") > 0
+    factor = F.when(F.col("units").isNull(), F.col("stated").cast("bigint")).when(F.col("us").isNotNull(), timed).otherwise(likely)
+    positive = (F.col("size") > 0) & F.col("factor").isNotNull()
     stated = size_text_bytes(F.col("size_text"))
-    value = F.when(positive, (F.col("size").cast("decimal(19,0)") * factor).try_cast("bigint")).otherwise(
+    value = F.when(positive, (F.col("size").cast("decimal(19,0)") * F.col("factor")).try_cast("bigint")).otherwise(
         F.coalesce(stated, name_bytes(F.col("name")))
     )
     return (
         rows.join(broadcast_small(by_source), "source", "left")
-        .select("record_id", value.alias("size_bytes"), F.coalesce(positive & (factor == 1), F.lit(False)).alias("stands"))
+        .withColumn("factor", factor)
+        .select("record_id", value.alias("size_bytes"), F.coalesce(positive & (F.col("factor") == 1), F.lit(False)).alias("stands"))
         .where("size_bytes > 0")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelloom.operators.snapshot_diff import SnapshotTable, generations_with_rows, snapshot_changes
-from reelloom.operators.units import sizes_in_bytes
+from reelloom.operators.units import level_shifts, sizes_in_bytes
 from reelloom.session import table
 
 CONTENT_KEY = ["content_type", "content_source", "content_id"]
@@ -92,9 +92,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.where("not stands").select("record_id", "size_bytes")
 
 
+def p5_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_shifts(table(spark, sf_dir, "torrent_records"), table(spark, sf_dir, "torrent_sources"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p5_found": p5_found,
+    "p5_levels": p5_levels,
 }
 
 SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelloom.functions.sizes import declared_factor, name_bytes, size_text_bytes
-from reelloom.operators.units import changepoints, sizes_in_bytes
+from reelloom.operators.units import changepoints, level_shifts, sizes_in_bytes
 
 
 def brute_cost(n, s, q, cuts, penalty):
@@ -92,3 +92,57 @@ def test_learned_units(spark):
 def test_empty_tables(spark):
     out = sizes_in_bytes(spark.createDataFrame([], RECORDS), spark.createDataFrame([], "key string, size_unit string"))
     assert out.count() == 0
+
+
+def sized(spark, data, units):
+    """Bytes by record id of (source, size, time[, thing]) rows, in order."""
+    rows = [(i, source, f"{(thing or [i])[0]:040x}", "n", size, None, at, 0, "x") for i, (source, size, at, *thing) in enumerate(data)]
+    sources = spark.createDataFrame(list(units.items()), "key string, size_unit string")
+    return {r.record_id: r.size_bytes for r in sizes_in_bytes(spark.createDataFrame(rows, RECORDS), sources).collect()}
+
+
+def test_a_stray_time_hides_no_change(spark):
+    """A change within 8 days is found beside rows dated 1970, of another
+    source and of its own."""
+    rng = random.Random(4)
+    real = [int(np.exp(rng.gauss(21, 1.2))) for _ in range(4000)]
+    data = [("changing", size // (1024 if i >= 1000 else 1), START + dt.timedelta(minutes=i * 5)) for i, size in enumerate(real[:2000])]
+    data += [("plain", size, START + dt.timedelta(hours=i)) for i, size in enumerate(real[2000:])]
+    strays = [("plain", 10**9, dt.datetime(1970, 1, 1)), ("changing", 2 * 10**9, dt.datetime(1970, 1, 1, 1))]
+    out = sized(spark, data + strays, {"plain": "bytes", "changing": None})
+    assert all(out[i] == size // (1024 if i >= 1000 else 1) * (1024 if i >= 1000 else 1) for i, size in enumerate(real[:2000]))
+    assert out[4000] == 10**9 and out[4001] == 2 * 10**9
+
+
+def test_a_short_phase_is_found_and_ends(spark):
+    """Twelve rows in another unit, far fewer than a bin holds."""
+    rng = random.Random(9)
+    real = [int(np.exp(rng.gauss(21, 1.0))) for _ in range(24_000)]
+    data = [("changing", size // (2**20 if 7000 <= i < 7012 else 1), START + dt.timedelta(seconds=i)) for i, size in enumerate(real[:20_000])]
+    data += [("plain", size, START + dt.timedelta(minutes=i)) for i, size in enumerate(real[20_000:])]
+    data += [("plain", real[i], START + dt.timedelta(minutes=i), i) for i in range(7000, 7012, 2)]
+    out = sized(spark, data, {"plain": "B", "changing": None})
+    for i in range(20_000):
+        assert out[i] == (real[i] // 2**20 * 2**20 if 7000 <= i < 7012 else real[i])
+
+
+def test_a_shift_of_the_sizes_stays(spark):
+    """Sizes a hundred times larger from some day on are no change of unit."""
+    rng = random.Random(6)
+    data = [("grows", int(np.exp(rng.gauss(21, 0.8))) // (1 if i >= 500 else 100), START + dt.timedelta(minutes=i)) for i in range(1000)]
+    data += [("plain", int(np.exp(rng.gauss(21, 0.8))), START + dt.timedelta(minutes=i)) for i in range(1000)]
+    for unit in (None, "byte"):
+        out = sized(spark, data, {"plain": "B", "grows": unit})
+        assert all(out[i] == data[i][1] for i in range(2000))
+    rows = [(i, source, None, None, size, None, at, 0, "x") for i, (source, size, at) in enumerate(data)]
+    found = [r for r in level_shifts(spark.createDataFrame(rows, RECORDS), spark.createDataFrame([("plain", "B")], "key string, size_unit string")).collect() if r.source == "grows"]
+    assert len(found) == 2 and not any(r.unit_change for r in found)
+    assert abs(max(found, key=lambda r: r.segment)["shift"] - np.log(100)) < 0.2
+
+
+def test_sources_without_times_or_of_one_time(spark):
+    rows = [(1, "k", None, None, 5, None, None, 0, ""), (2, "m", None, None, 5, "1 GB", None, 0, "")]
+    rows += [(10 + i, "same", None, None, 1000 * (1024 if i % 2 else 1), None, START, 0, "") for i in range(40)]
+    sources = spark.createDataFrame([("k", "KiB"), ("same", "B"), ("same", "B")], "key string, size_unit string")
+    out = {r.record_id: r.size_bytes for r in sizes_in_bytes(spark.createDataFrame(rows, RECORDS), sources).collect()}
+    assert out[1] == 5 * 1024 and out[2] == 10**9 and out[10] == 1000 and len(out) == 42
