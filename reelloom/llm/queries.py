@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelloom.llm.canonical_values import OTHER_NAMES, map_item_values
+from reelloom.llm.canonical_values import map_item_values
 from reelloom.llm.entity_match import matched
 from reelloom.llm.fusion import PICTURE_STAND_INS, STAND_INS, fused, survivors
+from reelloom.llm.genre_names import OTHER_NAMES
 from reelloom.llm.leaks import leaked
 from reelloom.llm.packing import fill_report, packed
 from reelloom.llm.quality import document_quality
@@ -32,7 +33,8 @@ def p2_wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     genres = table(spark, sf_dir, "content_collections").where("type = 'genre'").select("id", "name")
     items = table(spark, sf_dir, "catalog_snapshot_items")
-    return map_item_values(items, ["generation_id", *CONTENT_KEY], "genres", genres, OTHER_NAMES)
+    others = spark.createDataFrame([(n, o) for n, listed in OTHER_NAMES.items() for o in listed.split("|")], "name string, other string")
+    return map_item_values(items, ["generation_id", *CONTENT_KEY], "genres", genres, others)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
