@@ -6,10 +6,11 @@ model with states for prose, lists, tables and junk labels the lines of each
 document; shares of the labels, weighted by characters, tell what a document
 mostly is.
 
-The model starts from plain rules for clear lines and is fitted by Viterbi
-training: labels of all lines give the next model. Lines are counted by
-symbol, so a round ships only the symbol counts of each task to the driver,
-a table bounded by the number of symbols, not by the corpus.
+The model starts from what is supposed of each state's lines, feature by
+feature, and is fitted by Viterbi training: its labels of all lines, together
+with what was supposed, give the next model. No line is labelled by a rule.
+Lines are counted by symbol, so a round ships only the symbol counts of each
+task to the driver, a table bounded by the number of symbols, not by the corpus.
 """
 
 from __future__ import annotations
@@ -216,50 +217,73 @@ def parts(symbol: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def seed_labels(symbol: np.ndarray) -> np.ndarray:
-    """The state that plain rules give a line; -1 where they don't tell."""
-    p = parts(symbol)
-    common, length, oddity = p["wording"] % 4, p["wording"] // 4, p["oddity"]
-    salad = (length == 3) & (common == 0) & (p["commas"] == 0)
-    rules = [
-        ((oddity == 1) | (oddity == 2), 6),
-        (oddity == 5, 9),
-        (oddity == 3, 5),
-        ((p["letters"] == 0) & (p["separators"] != 1) & (p["separators"] != 2), 6),
-        (oddity == 4, 7),
-        (p["separators"] == 1, 3),
-        (p["separators"] == 2, 4),
-        ((p["marker"] == 2) | (p["marker"] == 3), 1),
-        ((p["marker"] == 1) & (length <= 2), 1),
-        (p["separators"] == 3, 8),
-        ((p["marker"] == 4) & (length <= 1), 4),
-        (salad & (p["capitals"] == 0), 5),
-        ((common >= 2) & ((length >= 2) | (length == 1) & (p["capitals"] == 0)), 0),
-        ((common >= 1) & (length >= 2) & (p["ending"] == 1) & (p["capitals"] < 2), 0),
-        ((length <= 1) & (p["capitals"] == 2), 2),
-    ]
-    return np.select([c for c, _ in rules], [k for _, k in rules], -1)
+# What is supposed of a state's lines before any is seen: the share of lines
+# that have one of some values of a feature. Values not named share the rest.
+# For wording the values are (length, common words) pairs of bins.
+SUPPOSED = {
+    "prose": {"wording": [((2, 3), (2, 3), 0.75), ((1,), (2, 3), 0.1), ((2, 3), (1,), 0.1), ((3,), (0,), 0.0005)], "capitals": [((0,), 0.85), ((1,), 0.12)], "marker": [((0,), 0.95)], "separators": [((0,), 0.93), ((3,), 0.05)], "letters": [((2,), 0.97)], "oddity": [((0,), 0.99)], "ending": [((1,), 0.75)]},
+    "marked list": {"wording": [((0, 1), (0, 1, 2, 3), 0.8), ((2,), (0, 1, 2, 3), 0.15)], "marker": [((1,), 0.7), ((2, 3), 0.28)], "separators": [((0,), 0.9)], "oddity": [((0,), 0.9), ((2,), 0.05)], "ending": [((0,), 0.9)]},
+    "plain list": {"wording": [((0, 1), (0, 1, 2, 3), 0.95)], "capitals": [((2,), 0.9)], "marker": [((0,), 0.97)], "separators": [((0,), 0.97)], "letters": [((1, 2), 0.97)], "oddity": [((0,), 0.98)], "ending": [((0,), 0.95)]},
+    "cells": {"separators": [((1,), 0.98)], "oddity": [((0,), 0.8)], "marker": [((0,), 0.8)]},
+    "sheet": {"wording": [((0, 1), (0, 1, 2), 0.9)], "marker": [((4,), 0.6), ((0,), 0.38)], "separators": [((2,), 0.55), ((0,), 0.43)], "oddity": [((0,), 0.97)], "ending": [((0,), 0.9)]},
+    "loose words": {"wording": [((3,), (0,), 0.75), ((2, 3), (0, 1), 0.2)], "capitals": [((0,), 0.9)], "marker": [((0,), 0.97)], "separators": [((0,), 0.97)], "oddity": [((3,), 0.4), ((0,), 0.55)], "commas": [((0,), 0.97)]},
+    "code": {"oddity": [((1, 2), 0.75), ((0,), 0.22)], "letters": [((0,), 0.5)], "wording": [((0, 1, 2, 3), (0,), 0.95)], "separators": [((0,), 0.8)]},
+    "page words": {"oddity": [((4,), 0.97)], "wording": [((0, 1), (0, 1, 2, 3), 0.8)], "separators": [((0,), 0.8)]},
+    "inline list": {"separators": [((3,), 0.98)], "commas": [((1,), 0.9)], "oddity": [((0,), 0.97)], "marker": [((0,), 0.9)]},
+    "repeated line": {"oddity": [((5,), 0.98)]},
+}
+STAYING = 0.8  # supposed share of lines that are followed by one of their state
+SUPPOSED_LINES = 50.0  # weight of what is supposed, in lines of each state
+SUPPOSED_SHARE = 0.25  # and at least this share of the lines the state has
+
+
+def supposed() -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Shares by feature and state, from state to state, and at the start."""
+    emission = {}
+    for name, size in SIZES.items():
+        table = np.zeros((len(STATES), size))
+        for k, state in enumerate(STATES):
+            named = np.zeros(size, dtype=bool)
+            for entry in SUPPOSED[state].get(name, []):
+                values = [a * 4 + b for a in entry[0] for b in entry[1]] if name == "wording" else list(entry[0])
+                table[k, values] = entry[-1] / len(values)
+                named[values] = True
+            rest = 1 - table[k].sum()
+            table[k, ~named] = rest / max(1, (~named).sum())
+        emission[name] = table / table.sum(axis=1, keepdims=True)
+    k = len(STATES)
+    step = np.full((k, k), (1 - STAYING) / (k - 1))
+    np.fill_diagonal(step, STAYING)
+    return emission, step, np.full(k, 1 / k)
 
 
 class Model:
     """Log probabilities: by feature and state, from state to state, at the start."""
 
-    def __init__(self, emission: dict[str, np.ndarray], step: np.ndarray, start: np.ndarray):
-        self.emission, self.step, self.start = emission, step, start
+    def __init__(self, emission: dict[str, np.ndarray], step: np.ndarray, first: np.ndarray):
+        self.emission, self.step, self.first = emission, step, first
+
+    @classmethod
+    def start(cls) -> Model:
+        """The model before any line is seen."""
+        return cls.fit({}, np.zeros((len(STATES), len(STATES))))
 
     @classmethod
-    def fit(cls, counts: dict[tuple[int, int], int], steps: np.ndarray, starts: np.ndarray) -> Model:
-        symbol = np.array([s for s, _ in counts] or [0], dtype=np.int64)
-        state = np.array([k for _, k in counts] or [0], dtype=np.int64)
-        weight = np.array(list(counts.values()) or [0], dtype=np.float64)
+    def fit(cls, counts: dict[tuple[int, int], int], steps: np.ndarray) -> Model:
+        """The likeliest model of labelled lines and of what is supposed."""
+        symbol = np.array([s for s, _ in counts], dtype=np.int64)
+        state = np.array([k for _, k in counts], dtype=np.int64)
+        weight = np.array(list(counts.values()), dtype=np.float64)
+        shares, step, start = supposed()
+        strength = np.maximum(SUPPOSED_LINES, SUPPOSED_SHARE * np.bincount(state, weight, minlength=len(STATES)))
         emission = {}
         for name, values in parts(symbol).items():
-            table = np.full((len(STATES), SIZES[name]), 1.0)
+            table = shares[name] * strength[:, None]
             np.add.at(table, (state, values), weight)
             emission[name] = np.log(table / table.sum(axis=1, keepdims=True))
-        step = steps + 1.0
-        start = starts + 1.0
-        return cls(emission, np.log(step / step.sum(axis=1, keepdims=True)), np.log(start / start.sum()))
+        step = steps + step * strength[:, None]
+        # A first line may be of any state: what most documents begin with says nothing of one of a single line.
+        return cls(emission, np.log(step / step.sum(axis=1, keepdims=True)), np.log(start))
 
     def scores(self, symbol: np.ndarray) -> np.ndarray:
         total = np.zeros((len(symbol), len(STATES)))
@@ -279,7 +303,7 @@ class Model:
         order = order[length[order] > 0]
         head, length = head[order], length[order]
         back = np.zeros((len(symbol), len(STATES)), dtype=np.int8)
-        score = self.start + emit[head]
+        score = self.first + emit[head]
         final = np.zeros(len(order), dtype=np.int8)
         alive = len(order)
         for t in range(1, int(length[0]) + 1):
@@ -324,8 +348,8 @@ def _line_table(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(read, schema)
 
 
-def _counted(lines: DataFrame, model: Model | None) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Lines by symbol and state, steps and starts, over all documents."""
+def _counted(lines: DataFrame, model: Model) -> tuple[dict, np.ndarray]:
+    """Lines by symbol and state, and steps, over all documents."""
     k = len(STATES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,30 +357,23 @@ def _counted(lines: DataFrame, model: Model | None) -> tuple[dict, np.ndarray, n
         for batch in batches:
             symbol = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int32).astype(np.int64)
             length = batch.column(1).to_numpy()
-            state = seed_labels(symbol) if model is None else model.label(symbol, length).astype(np.int64)
-            known = state >= 0
+            state = model.label(symbol, length).astype(np.int64)
             head = np.zeros(len(symbol), dtype=bool)
             head[(np.cumsum(length) - length)[length > 0]] = True
-            joined = ~head[1:] & known[1:] & known[:-1]
-            for code in (
-                symbol[known] * 64 + state[known],
-                -1 - (state[:-1][joined] * k + state[1:][joined]),
-                -1000 - state[head & known],
-            ):
+            joined = ~head[1:]
+            for code in (symbol * 64 + state, -1 - (state[:-1][joined] * k + state[1:][joined])):
                 for c, n in zip(*np.unique(code, return_counts=True)):
                     tally[int(c)] = tally.get(int(c), 0) + int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64())], ["code", "n"])
 
     rows = lines.select("symbols", "lines").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n")).collect()  # bounded by the symbols
-    counts, steps, starts = {}, np.zeros((k, k)), np.zeros(k)
+    counts, steps = {}, np.zeros((k, k))
     for code, n in rows:
         if code >= 0:
             counts[(code // 64, code % 64)] = n
-        elif code > -1000:
-            steps[divmod(-1 - code, k)] += n
         else:
-            starts[-1000 - code] += n
-    return counts, steps, starts
+            steps[divmod(-1 - code, k)] += n
+    return counts, steps
 
 
 def document_quality(documents: DataFrame) -> DataFrame:
@@ -367,8 +384,8 @@ def document_quality(documents: DataFrame) -> DataFrame:
     and no share of anything. Repeated rows give repeated results.
     """
     lines = materialize(_line_table(documents), "lines")
-    model = None
-    for _ in range(ROUNDS + 1):
+    model = Model.start()
+    for _ in range(ROUNDS):
         model = Model.fit(*_counted(lines, model))
     fitted = model
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from reelloom.llm.quality import SIZES, STATES, Model, document_quality
+from reelloom.llm.quality import SIZES, STATES, Model, document_quality, supposed
 
 PROSE = "The captain meets a widow in the harbor, and neither of them speaks of the storm again. It was the first time that she had seen him smile. "
 SAMPLES = {
@@ -46,9 +46,29 @@ def test_labels_are_the_most_likely():
     at = 0
     for n in lengths:
         emit = model.scores(symbols[at : at + n])
-        score = lambda path: sum(emit[i, s] for i, s in enumerate(path)) + model.start[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+        score = lambda path: sum(emit[i, s] for i, s in enumerate(path)) + model.first[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:]))
         if n:
             best = max(itertools.product(range(len(STATES)), repeat=int(n)), key=score)
             assert abs(score(tuple(found[at : at + n])) - score(best)) < 1e-9
         at += n
     assert random is not None
+
+
+WRAPPED = "\n".join(f"- Silent River and the {w} of the\n  Long Night ({1990 + i})" for i, w in enumerate(("Mill", "Dam", "Storm", "Ferry", "Garden", "Tower", "Island", "Harbor")))
+INSIDE = PROSE * 4 + "\n" + "\n".join(f"| Storm | {1990 + i} | 720p |" for i in range(5)) + "\n" + PROSE * 4
+
+
+def test_context(spark):
+    """Lines that alone look like something else: the second lines of wrapped
+    entries, and a table inside prose."""
+    flat = [t for texts in SAMPLES.values() for t in texts] * 3
+    docs = spark.createDataFrame(list(enumerate([WRAPPED, INSIDE, *flat])), "doc_id bigint, text string")
+    out = {r.doc_id: r for r in document_quality(docs).collect()}
+    assert out[0].list > 0.9, out[0]
+    assert out[1].prose > 0.5 and 0.05 < out[1].table < 0.4, out[1]
+
+
+def test_supposed_shares_are_shares():
+    emission, step, first = supposed()
+    for table in (*emission.values(), step, first[None]):
+        assert np.allclose(table.sum(axis=1), 1) and (table > 0).all()
