@@ -1,9 +1,9 @@
 """The best representative of each group of duplicate records.
 
 ``usable_claims`` reduces rows to what each says about each field, leaving out
-stand-ins; a picture claimed for several different items is one of them, which
-is the shared false value that gives copying away. Two policies choose among
-the claims:
+stand-ins. A text or picture claimed for many different items is a shared false
+value; the posterior of that, given for how many items a value is claimed,
+decides (``stand_ins``). Two policies choose among the claims:
 
 * ``survivors`` follows the order trust, recency, row id exactly;
 * ``fused`` is Bayesian fusion with copy detection: source accuracies and the
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from reelloom.functions.text import strip_blanks
 from reelloom.session import broadcast_small, materialize
 
 FIELDS = ("synopsis", "poster", "rating", "tmdb_id")
-SHARED_BY = 3
-ROUNDS = 8
+ROUNDS = 12  # at most; the fusion stops once accuracies settle
+SETTLED = 1e-3
 FALSE_VALUES = 20  # assumed number of wrong values a field could have
 COPY_RATE = 0.8  # assumed share of values that a copying source copies
 COPY_PRIOR = 0.1
@@ -49,11 +50,7 @@ STAND_INS = [
     "sin descripción", "sin sinopsis", "sinopsis no disponible", "no disponible", "próximamente", "desconocido",
     "нет описания", "описание отсутствует", "описание появится позже", "скоро", "неизвестно",
 ]
-# Parts of a file name that mark a picture as a stand-in.
-PICTURE_STAND_INS = (
-    r"(?i)(^|[/_.-])(no[_-]?(image|img|poster|photo|picture|cover|thumb(nail)?)|missing|blank|default|placeholder|not[_-]?found|"
-    r"unavailable|coming[_-]?soon|dummy|spacer|empty|null|none|n/a)([/_.-]|\d|$)"
-)
+KNOWN_PRIOR = 0.9  # that a text of a caller's list is a stand-in
 
 
 def plain_text(text: Column) -> Column:
@@ -66,19 +63,16 @@ def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def usable_synopsis(synopsis: Column, title: Column) -> Column:
-    """Says something: not blank, no stand-in, not just the title (its year aside)."""
-    words = _words(plain_text(synopsis))
+def says_something(words: Column, title: Column) -> Column:
+    """Neither blank nor just the title (its year aside)."""
     year = r" \d{4}$"
     only_title = F.regexp_replace(words, year, "") == F.regexp_replace(_words(title), year, "")
-    return F.coalesce((words != "") & ~words.isin(STAND_INS) & ~F.coalesce(only_title, F.lit(False)), F.lit(False))
+    return F.coalesce((words != "") & ~F.coalesce(only_title, F.lit(False)), F.lit(False))
 
 
 def picture_address(poster: Column) -> Column:
-    """A path or web address of a picture that isn't a stand-in by its name."""
-    text = strip_blanks(poster)
-    address = text.rlike(r"(?i)^(https?:/)?/[^\s]*[^\s/]+$")
-    return F.coalesce(address & ~text.rlike(PICTURE_STAND_INS), F.lit(False))
+    """A path or web address of a picture."""
+    return F.coalesce(strip_blanks(poster).rlike(r"(?i)^(https?:/)?/[^\s]*[^\s/]+$"), F.lit(False))
 
 
 def usable_rating(rating: Column) -> Column:
@@ -89,43 +83,87 @@ def usable_tmdb_id(tmdb_id: Column) -> Column:
     return F.coalesce(strip_blanks(tmdb_id).rlike("^0*[1-9][0-9]*$"), F.lit(False))
 
 
-def usable_claims(items: DataFrame, sources: DataFrame) -> DataFrame:
+def sharing_model(histogram: dict[int, int], groups: int) -> tuple[float, float, float]:
+    """Prior odds of a stand-in, exponent and log normaliser of genuine values.
+
+    ``histogram`` tells how many values are claimed for k of ``groups`` items.
+    A genuine value is claimed for k items with a chance that falls as a power
+    of k, a stand-in for any number alike on a log scale; both shares and the
+    exponent follow by expectation and maximisation.
+    """
+    k = np.array(sorted(histogram) or [1], dtype=float)
+    n = np.array([histogram[int(x)] for x in k] if histogram else [0], dtype=float)
+    flat = -np.log(k) - math.log(math.log(max(groups, 2)) + 1)
+    exponents = np.linspace(1.5, 12, 211)
+    series = np.arange(1, 2001)[:, None] ** -exponents
+    norms = np.log(series.sum(axis=0) + 2000.5 ** (1 - exponents) / (exponents - 1))
+    exponent, norm, share = 4.0, math.log(1.0823), 0.01
+    for _ in range(50):
+        odds = math.log(share / (1 - share)) + flat + exponent * np.log(k) + norm
+        shared = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        genuine = n * (1 - shared)
+        likelihood = -exponents * (genuine * np.log(k)).sum() - norms * genuine.sum()
+        best = int(np.argmax(likelihood))
+        exponent, norm = float(exponents[best]), float(norms[best])
+        share = float(np.clip((n * shared).sum() / max(1.0, n.sum()), 1e-9, 0.5))
+    return math.log(share / (1 - share)), exponent, norm
+
+
+def stand_ins(claims: DataFrame, value: str, known: list[str] | None = None) -> DataFrame:
+    """(value, posterior) of the values of a column, as 128-bit hashes, that
+    are likelier stand-ins than values of the items they are claimed for.
+
+    ``claims`` has canonical_id and the column; null values count for nothing.
+    ``known`` lists values thought stand-ins before any claim is seen.
+    """
+    spark = claims.sparkSession
+    hashed = claims.where(F.col(value).isNotNull()).select("canonical_id", _hashed(F.col(value)).alias("value"))
+    counted = materialize(hashed.distinct().groupBy("value").agg(F.count(F.lit(1)).alias("k")), "shared")
+    histogram = {r[0]: r[1] for r in counted.groupBy("k").count().collect()}  # one row per count
+    groups = claims.agg(F.approx_count_distinct("canonical_id")).first()[0]
+    odds, exponent, norm = sharing_model(histogram, groups)
+    listed = spark.createDataFrame([(v,) for v in known or []], "text string").select(_hashed(F.col("text")).alias("value"), F.lit(math.log(KNOWN_PRIOR / (1 - KNOWN_PRIOR))).alias("known"))
+    logs = F.log(F.col("k").cast("double"))
+    total = F.coalesce("known", F.lit(odds)) - logs - math.log(math.log(max(groups, 2)) + 1) + exponent * logs + norm
+    return (
+        counted.join(broadcast_small(listed), "value", "left")
+        .select("value", (1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), total))))).alias("posterior"))
+        .where("posterior > 0.5")
+    )
+
+
+def _hashed(value: Column) -> Column:
+    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))
+
+
+def usable_claims(items: DataFrame, sources: DataFrame, known: list[str] | None = None) -> DataFrame:
     """What each row says: canonical_id, source, row_id, trust_rank, updated_at
     and, for every field, whether and what it says.
 
     Rows without canonical_id belong to no group. Unknown sources are trusted
     least. ``sources`` (key, trust_rank) has one row per source, a handful.
+    ``known`` texts are thought stand-ins unless the claims say otherwise.
     """
     trust = sources.groupBy(F.col("key").alias("source")).agg(F.min("trust_rank").alias("trust_rank"))
-    rows = items.select(
-        "canonical_id", "row_id", "source", "updated_at", "title", "synopsis", "poster", "rating", "tmdb_id"
-    ).where("canonical_id is not null")
-    shared = (
-        rows.where(picture_address(F.col("poster")))
-        .groupBy(strip_blanks(F.col("poster")).alias("picture"))
-        .agg(F.count_distinct("canonical_id").alias("items"))
-        .where(F.col("items") >= SHARED_BY)
-        .select("picture", F.lit(True).alias("shared"))
-    )
-    return (
-        rows.withColumn("picture", F.when(picture_address(F.col("poster")), strip_blanks(F.col("poster"))))
-        .join(shared, "picture", "left")
-        .join(broadcast_small(trust), "source", "left")
-        .select(
-            "canonical_id",
-            "row_id",
-            "source",
-            "trust_rank",
-            "updated_at",
-            F.when(usable_synopsis(F.col("synopsis"), F.col("title")), _words(plain_text(F.col("synopsis")))).alias("synopsis"),
-            F.when(F.col("shared").isNull(), F.col("picture")).alias("poster"),
-            F.when(usable_rating(F.col("rating")), F.round("rating", 1).cast("string")).alias("rating"),
-            F.when(usable_tmdb_id(F.col("tmdb_id")), F.regexp_replace(strip_blanks(F.col("tmdb_id")), "^0+", "")).alias("tmdb_id"),
-        )
+    words = _words(plain_text(F.col("synopsis")))
+    rows = items.where("canonical_id is not null").select(
+        "canonical_id",
+        "row_id",
+        "source",
+        "updated_at",
+        F.when(says_something(words, F.col("title")), words).alias("synopsis"),
+        F.when(picture_address(F.col("poster")), strip_blanks(F.col("poster"))).alias("poster"),
+        F.when(usable_rating(F.col("rating")), F.round("rating", 1).cast("string")).alias("rating"),
+        F.when(usable_tmdb_id(F.col("tmdb_id")), F.regexp_replace(strip_blanks(F.col("tmdb_id")), "^0+", "")).alias("tmdb_id"),
     )
+    own = rows
+    for field, listed in (("synopsis", known), ("poster", None)):
+        shared = stand_ins(rows, field, listed).select(F.col("value").alias("hashed"), F.lit(True).alias("shared"))
+        own = own.withColumn("hashed", _hashed(F.col(field))).join(broadcast_small(shared), "hashed", "left").withColumn(field, F.when(F.col("shared").isNull(), F.col(field))).drop("hashed", "shared")
+    return own.join(broadcast_small(trust), "source", "left").select("canonical_id", "row_id", "source", "trust_rank", "updated_at", *FIELDS)
 
 
-def survivors(items: DataFrame, sources: DataFrame) -> DataFrame:
+def survivors(items: DataFrame, sources: DataFrame, known: list[str] | None = None) -> DataFrame:
     """(canonical_id, field_name, row_id): who supplies each field of each
     group of two rows or more.
 
@@ -133,7 +171,7 @@ def survivors(items: DataFrame, sources: DataFrame) -> DataFrame:
     the latest updated_at (null last), then the smallest row_id. A field that
     no row can supply is absent. A repeated row counts as often as it occurs.
     """
-    claims = usable_claims(items, sources)
+    claims = usable_claims(items, sources, known)
     order = F.struct(
         F.coalesce("trust_rank", F.lit(2**31 - 1)).alias("rank"),
         F.col("updated_at").isNull().alias("undated"),
@@ -274,18 +312,20 @@ def _copying(scored: DataFrame, accuracy: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def fused(items: DataFrame, sources: DataFrame) -> DataFrame:
+def fused(items: DataFrame, sources: DataFrame, known: list[str] | None = None) -> DataFrame:
     """(canonical_id, field_name, row_id, posterior): the value of the largest
     posterior for each field of each group; ties go to the smaller row_id."""
-    votes = materialize(_votes(usable_claims(items, sources)), "votes")
+    votes = materialize(_votes(usable_claims(items, sources, known)), "votes")
     # A few sources; the better trusted start as the more accurate.
     ranks = {r[0]: r[1] for r in sources.where("trust_rank is not null").select("key", "trust_rank").collect()}
     accuracy = {f"{s}|{f}": max(0.6, 0.9 - 0.03 * r) for s, r in ranks.items() for f in FIELDS}
     copying: dict[str, float] = {}
     for _ in range(ROUNDS):
         scored = _posteriors(votes, accuracy, copying)
-        accuracy = _accuracies(scored)
+        before, accuracy = accuracy, _accuracies(scored)
         copying = _copying(scored, accuracy)
+        if max((abs(a - before.get(k, 0.0)) for k, a in accuracy.items()), default=0.0) < SETTLED:
+            break
     final = _posteriors(votes, accuracy, copying)
     best = F.array_max(F.transform("votes", lambda v: F.struct(v["p"].alias("p"), (-v["row_id"]).alias("row"))))
     return final.select(

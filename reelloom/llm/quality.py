@@ -221,7 +221,7 @@ def parts(symbol: np.ndarray) -> dict[str, np.ndarray]:
 # that have one of some values of a feature. Values not named share the rest.
 # For wording the values are (length, common words) pairs of bins.
 SUPPOSED = {
-    "prose": {"wording": [((2, 3), (2, 3), 0.75), ((1,), (2, 3), 0.1), ((2, 3), (1,), 0.1), ((3,), (0,), 0.0005)], "capitals": [((0,), 0.85), ((1,), 0.12)], "marker": [((0,), 0.95)], "separators": [((0,), 0.93), ((3,), 0.05)], "letters": [((2,), 0.97)], "oddity": [((0,), 0.99)], "ending": [((1,), 0.75)]},
+    "prose": {"wording": [((2, 3), (2, 3), 0.75), ((1,), (2, 3), 0.1), ((2, 3), (1,), 0.1), ((3,), (0,), 0.0002)], "capitals": [((0,), 0.85), ((1,), 0.12)], "marker": [((0,), 0.95)], "separators": [((0,), 0.93), ((3,), 0.05)], "letters": [((2,), 0.97)], "oddity": [((0,), 0.99)], "ending": [((1,), 0.75)]},
     "marked list": {"wording": [((0, 1), (0, 1, 2, 3), 0.8), ((2,), (0, 1, 2, 3), 0.15)], "marker": [((1,), 0.7), ((2, 3), 0.28)], "separators": [((0,), 0.9)], "oddity": [((0,), 0.9), ((2,), 0.05)], "ending": [((0,), 0.9)]},
     "plain list": {"wording": [((0, 1), (0, 1, 2, 3), 0.95)], "capitals": [((2,), 0.9)], "marker": [((0,), 0.97)], "separators": [((0,), 0.97)], "letters": [((1, 2), 0.97)], "oddity": [((0,), 0.98)], "ending": [((0,), 0.95)]},
     "cells": {"separators": [((1,), 0.98)], "oddity": [((0,), 0.8)], "marker": [((0,), 0.8)]},

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelloom.llm.canonical_values import map_item_values
 from reelloom.llm.entity_match import matched
-from reelloom.llm.fusion import PICTURE_STAND_INS, STAND_INS, fused, survivors
+from reelloom.llm.fusion import STAND_INS, fused, survivors
 from reelloom.llm.genre_names import OTHER_NAMES
 from reelloom.llm.leaks import leaked
 from reelloom.llm.packing import fill_report, packed
@@ -38,11 +38,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"))
+    return survivors(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"), STAND_INS)
 
 
 def p4_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"))
+    return fused(table(spark, sf_dir, "catalog_items"), table(spark, sf_dir, "metadata_sources"), STAND_INS)
 
 
 def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,11 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STAND_IN_LIST = ", ".join(f"'{s}'" for s in STAND_INS)
-_PICTURE = PICTURE_STAND_INS.replace("'", "''")
+# Parts of a file name that mark a picture as a stand-in.
+_PICTURE = (
+    r"(?i)(^|[/_.-])(no[_-]?(image|img|poster|photo|picture|cover|thumb(nail)?)|missing|blank|default|placeholder|not[_-]?found|"
+    r"unavailable|coming[_-]?soon|dummy|spacer|empty|null|none|n/a)([/_.-]|\d|$)"
+)
 
 
 def _words_sql(column: str) -> str:

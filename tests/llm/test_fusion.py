@@ -1,10 +1,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelloom.llm.fusion import fused, picture_address, survivors, usable_synopsis, usable_tmdb_id
+from reelloom.llm.fusion import STAND_INS, fused, picture_address, says_something, sharing_model, survivors, usable_tmdb_id
 
 SCHEMA = "row_id bigint, source string, canonical_id string, tmdb_id string, title string, synopsis string, rating double, poster string, updated_at timestamp_ntz, trust_rank int, field string"
 T = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
@@ -22,7 +23,7 @@ def test_survivors(spark):
     data = [
         (1, "b", "g", "17", "T", "A story.", 5.0, "/p/b.jpg", T[0]),
         (2, "c", "g", " 18 ", "T", "Other story.", 0.0, "https://x/img/c.png", T[1]),
-        (3, "a", "g", "0", "T", "TBA", float("nan"), "/img/no-poster.png", T[2]),
+        (3, "a", "g", "0", "T", "TBA", float("nan"), "none", T[2]),
         (4, "zz", "g", "19", "T", None, 7.0, None, None),
         (5, "a", "h", "5", "T", "Solo", 5.0, "/x.jpg", T[0]),
         (6, "a", None, "5", "T", "No group", 5.0, "/x.jpg", T[0]),
@@ -30,15 +31,24 @@ def test_survivors(spark):
         (7, "b", "i", "6", "T", "<p>&nbsp;</p>", 10.1, "", None),
         (7, "b", "i", "6", "T", "<p>&nbsp;</p>", 10.1, "", None),
     ]
-    out = {(r.canonical_id, r.field_name): r.row_id for r in survivors(items(spark, data), trusted(spark)).collect()}
+    out = {(r.canonical_id, r.field_name): r.row_id for r in survivors(items(spark, data), trusted(spark), STAND_INS).collect()}
     assert out == {("g", "synopsis"): 2, ("g", "poster"): 2, ("g", "rating"): 1, ("g", "tmdb_id"): 2, ("i", "rating"): 8, ("i", "tmdb_id"): 7}
     assert survivors(items(spark, []), trusted(spark)).count() == 0
 
 
-def test_shared_pictures_are_stand_ins(spark):
-    data = [(i, "a", f"g{i % 4}", "1", "T", "Story", 5.0, "/p/shared.jpg" if i < 4 else f"/p/{i}.jpg", T[i % 3]) for i in range(8)]
-    out = {r.canonical_id: r.row_id for r in survivors(items(spark, data), trusted(spark)).collect() if r.field_name == "poster"}
-    assert out == {f"g{i}": i + 4 for i in range(4)}
+def test_shared_pictures_and_texts_are_stand_ins(spark):
+    """No list tells them: only that they are claimed for many items."""
+    data = [(i, "a", f"g{i % 40}", "1", "T", "Nothing here yet" if i < 40 else f"Story {i}", 5.0, "/p/shared.jpg" if i < 40 else f"/p/{i}.jpg", T[i % 3]) for i in range(400)]
+    out = {(r.canonical_id, r.field_name): r.row_id for r in survivors(items(spark, data), trusted(spark)).collect()}
+    for field in ("synopsis", "poster"):
+        assert all(out[f"g{g}", field] >= 40 for g in range(40))
+
+
+def test_sharing_model():
+    odds, exponent, norm = sharing_model({1: 90_000, 2: 900, 3: 90, 6: 12, 2400: 12}, 50_000)
+    posterior = lambda k: odds - np.log(k) - np.log(np.log(50_000) + 1) + exponent * np.log(k) + norm
+    assert posterior(6) < 0 < posterior(2400)
+    assert sharing_model({}, 0)[0] < 0
 
 
 @pytest.mark.parametrize(
@@ -46,12 +56,14 @@ def test_shared_pictures_are_stand_ins(spark):
     [("No overview map can show this town.", "T", True), ("No overview available.", "T", False), ("…", "T", False), ("The Storm", "THE STORM (2011)", False), ("Plot", None, True), ("", "T", False), (None, "T", False), ("Keine Beschreibung vorhanden.", "T", False)],
 )
 def test_synopses(spark, text, title, usable):
-    df = spark.createDataFrame([(text, title)], "s string, t string")
-    assert df.select(usable_synopsis(F.col("s"), F.col("t")).alias("u")).first().u is usable
+    data = [(1, "a", "g", None, title, text, None, None, T[0]), (2, "a", "g", None, title, None, None, None, T[0])]
+    assert survivors(items(spark, data), trusted(spark), STAND_INS).count() == usable
+    df = spark.createDataFrame([("the storm 2011", "The Storm"), ("", "x"), ("a storm", None)], "s string, t string")
+    assert [r[0] for r in df.select(says_something(F.col("s"), F.col("t"))).collect()] == [False, False, True]
 
 
 def test_addresses_and_ids(spark):
-    addresses = {"/a1b2.jpg": True, "https://img.x/p/1.png": True, "none": False, "/placeholder_300x450.jpg": False, "https://i.x/default/blank.png": False, "N/A": False, "/": False, None: False}
+    addresses = {"/a1b2.jpg": True, "https://img.x/p/1.png": True, "none": False, "N/A": False, "/": False, None: False}
     df = spark.createDataFrame([(a,) for a in addresses], "a string")
     assert {r.a: r.u for r in df.select("a", picture_address(F.col("a")).alias("u")).collect()} == addresses
     ids = {" 12\t": True, "0": False, "0000": False, "-1": False, "tt1": False, "007": True, None: False, "": False}
