@@ -5,8 +5,10 @@ forms, their words and character n-grams train skip-gram vectors of the
 n-grams; a text's vector is the weighted sum of its n-grams'. Several tables
 of random hyperplanes over the vectors of the whole title, of its name words
 and of their halves put forms into buckets; forms of one bucket, sequel number
-and word count are compared letter by letter. Slips alone accept and rank a
-pair; its cosine is only calibrated to a confidence.
+and word count are compared letter by letter, which accepts or rejects a pair;
+of the accepted ones the largest exact cosine ranks first. Cosines become
+confidences by a logistic curve fitted on planted slips in titles, against
+other titles of the same buckets.
 
 Size: the vectors have a fixed number of rows and are fitted on about
 ``FIT_FORMS`` forms; every form of either side is hashed, with the same planes
@@ -35,7 +37,6 @@ TOKENS = 1 << 14
 WORD_NODES = 1 << 12
 DIMENSIONS = 32
 FIT_FORMS = 20_000
-FIT_PAIRS = 20_000
 WALKS, STEPS = 60_000, 6
 MOST_NORM = 4.0
 # Tables of hyperplanes by part: (part, tables, planes of each).
@@ -44,7 +45,7 @@ TABLES = (("title", 4, 18), ("name", 1, 24), ("head", 1, 24), ("tail", 1, 24))
 BASE_WORKS = 100_000
 MOST_PLANES = 24
 FREQUENT = 0.002  # a word in a larger share of the forms names no work
-FAR_KEPT = 8  # of the pairs above MOST_SLIPS one in so many has a cosine and counts as so many
+PLANTED = 4_000  # titles with planted slips, for the calibration
 BIG_BUCKET = 256  # a bucket of more works is split by what a slip changes by one at most
 SPLIT = 3  # values in a part of a split bucket
 
@@ -104,6 +105,12 @@ class Vectors:
                 values, axes = np.linalg.eigh(np.cov(x.T) + 1e-6 * np.eye(DIMENSIONS))
                 self.scale[part] = axes / np.sqrt(values)
 
+    def cosine(self, left: list[str], right: list[str]) -> np.ndarray:
+        """Cosines of pairs of titles, from the titles' centre."""
+        a, b = (self.placed("title", t) for t in (left, right))
+        size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        return (a * b).sum(axis=1) / np.maximum(size, 1e-9)
+
     def placed(self, part: str, texts: list[str]) -> np.ndarray:
         """Centred and scaled vectors of texts of one part."""
         return (self.of(texts) - self.centre[part]) @ self.scale[part]
@@ -296,8 +303,8 @@ def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -
 
     ``record_side`` and ``work_side`` have distinct form and number. Pairs of
     more than ``MOST_SLIPS`` slips aren't the same title; nor is a pair with a
-    word that the works know and the other title lacks, which is no slip. Of
-    pairs above ``MOST_SLIPS`` one in ``FAR_KEPT`` has a cosine.
+    word that the works know and the other title lacks, which is no slip.
+    Pairs of up to ``MOST_SLIPS`` have a cosine.
     """
     left = _hashed(record_side, vectors, slipped=True)
     right = _hashed(work_side, vectors, slipped=False).select(F.col("form").alias("work_form"), "key")
@@ -312,12 +319,10 @@ def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -
             pdf = pdf.copy()
             pairs = list(zip(pdf["form"], pdf["work_form"]))
             pdf["slips"] = np.array([title_distance(a, b) for a, b in pairs], dtype=np.int32)
-            # Equal forms have cosine 1; of far pairs one in FAR_KEPT is enough to calibrate, as it counts for all.
             cosine = np.where(pdf["slips"] == 0, 1.0, np.nan)
-            need = [i for i, (a, b) in enumerate(pairs) if a != b and (pdf["slips"].iat[i] <= MOST_SLIPS or zlib.crc32(f"{a}/{b}".encode()) % FAR_KEPT == 0)]
-            if need:
-                sides = [vectors.of([pairs[i][k] for i in need]) for k in (0, 1)]
-                cosine[need] = (sides[0] * sides[1]).sum(axis=1)
+            need = np.flatnonzero(pdf["slips"].between(1, MOST_SLIPS))
+            if len(need):
+                cosine[need] = vectors.cosine(*([pairs[i][k] for i in need] for k in (0, 1)))
             pdf["cosine"] = cosine
             pdf["odd"] = [[x for x, y in zip(a.split(), b.split()) if x != y] for a, b in pairs]
             yield pdf
@@ -336,22 +341,49 @@ def form_pairs(record_side: DataFrame, work_side: DataFrame, vectors: Vectors) -
     return compared.drop("odd").join(other, ["form", "number", "work_form"], "left").withColumn("same", same).drop("other")
 
 
-def calibration(pairs: DataFrame, limit: int = FIT_PAIRS) -> tuple[float, float]:
+def planted_slip(form: str, rng: np.random.Generator) -> str:
+    """The form with one letter lost, exchanged, added or swapped in its longest word."""
+    words = form.split()
+    w = max(words, key=len)
+    k, letter = int(rng.integers(0, len(w))), chr(97 + int(rng.integers(0, 26)))
+    made = (w[:k] + w[k + 1 :], w[:k] + letter + w[k + 1 :], w[:k] + letter + w[k:], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :])[int(rng.integers(0, 4))]
+    return " ".join(made if x == w else x for x in words if made or x != w) or form
+
+
+def planted_pairs(works: list[tuple[str, int]], vectors: Vectors, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """(cosine, one title) of pairs of a form with planted slips and a title of
+    its buckets: its own, or another, which then is none of its works."""
+    rng = np.random.default_rng(seed)
+    forms, numbers = [f for f, _ in works], np.array([n for _, n in works], dtype=np.int64)
+    typed = [planted_slip(planted_slip(f, rng) if rng.random() < 0.2 else f, rng) for f in forms]
+    keys = _buckets(vectors)
+    row, key = keys(typed, numbers, True)
+    there, listed = keys(forms, numbers, False)
+    order = np.argsort(listed, kind="stable")
+    low, high = (np.searchsorted(listed[order], key, side=x) for x in ("left", "right"))
+    count = np.minimum(high - low, 64)  # of a sample's pairs, for the fit only
+    left = np.repeat(row, count)
+    ends = np.cumsum(count)
+    right = there[order[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(low, count)]]
+    pairs = np.unique(np.stack([np.concatenate([left, np.arange(len(forms))]), np.concatenate([right, np.arange(len(forms))])]), axis=1)
+    known = set(forms)
+    kept = [(typed[i], forms[j], i == j) for i, j in pairs.T.tolist() if typed[i] not in known]
+    if not kept:
+        return np.empty(0), np.empty(0)
+    return vectors.cosine([a for a, _, _ in kept], [b for _, b, _ in kept]), np.array([float(y) for _, _, y in kept])
+
+
+def calibration(cosines: np.ndarray, same: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the logistic curve from cosine to the chance
-    that a candidate pair is one title, fitted on about ``limit`` pairs. A far
-    pair stands for all of ``FAR_KEPT``."""
-    stands_for = F.when(F.col("slips") <= MOST_SLIPS, 1.0).otherwise(float(FAR_KEPT)).alias("weight")
-    rows = _sample(pairs.where("cosine is not null").select("cosine", F.col("same").cast("double").alias("y"), stands_for, "form"), "form", limit)
-    rows.sort()
-    x, y, weight = (np.array([r[k] for r in rows]) for k in range(3))
+    that a candidate pair is one title."""
     # One imagined pair of each kind keeps the curve finite.
-    x, y, weight = np.concatenate([x, [1.0, 0.5]]), np.concatenate([y, [1.0, 0.0]]), np.concatenate([weight, [1.0, 1.0]])
+    x, y = np.concatenate([cosines, [1.0, -1.0]]), np.concatenate([same, [1.0, 0.0]])
     design = np.stack([x, np.ones_like(x)], axis=1)
     theta = np.zeros(2)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        grade = design.T @ (weight * (y - p)) - 1e-3 * theta
-        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        grade = design.T @ (y - p) - 1e-3 * theta
+        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         theta = theta + np.linalg.solve(curve, grade)
     return float(theta[0]), float(theta[1])
 
@@ -360,7 +392,8 @@ def matched(records: DataFrame, works: DataFrame) -> DataFrame:
     """(record_id, tmdb_id, confidence): the work each record releases.
 
     Kind, sequel number and every word of the title must agree, slips of the
-    keyboard aside; of the titles within reach the nearest count. A name's
+    keyboard aside; of the titles within reach that of the largest cosine
+    counts. A name's
     year must be the work's; it may be off by one, or the work's unknown,
     where no other work has the title. A name without a year needs a title
     that one work of its kind has. Names that give several works match none.
@@ -371,13 +404,14 @@ def matched(records: DataFrame, works: DataFrame) -> DataFrame:
     titles = materialize(work_table(works), "titles")
     asked, listed = (materialize(t.select("form", "number").distinct(), "forms") for t in (parsed, titles))
     vectors = fitted_vectors(listed, asked)
-    pairs = materialize(form_pairs(asked, listed, vectors), "scored")
-    slope, intercept = calibration(pairs)
+    pairs = materialize(form_pairs(asked, listed, vectors).where("same"), "scored")
+    planted = sorted((r[0], r[1]) for r in _sample(listed, "form", PLANTED))
+    slope, intercept = calibration(*planted_pairs(planted, vectors))
     # One shuffle by form serves all that follows up to the join with the records.
-    good = pairs.where("same").join(titles.withColumnRenamed("form", "work_form"), ["work_form", "number"])
-    near = good.repartition("form", "number").withColumn("least", F.min("slips").over(Window.partitionBy("form", "number")))
+    good = pairs.join(titles.withColumnRenamed("form", "work_form"), ["work_form", "number"])
+    near = good.repartition("form", "number").withColumn("nearest", F.max("cosine").over(Window.partitionBy("form", "number")))
     options = (
-        near.where("slips = least")
+        near.where("cosine >= nearest - 1e-9")
         .groupBy("form", "number", "kind", "tmdb_id")
         .agg(F.max("year").alias("year"), F.max("cosine").alias("cosine"))
     )

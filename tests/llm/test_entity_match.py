@@ -119,16 +119,22 @@ def test_pairs_do_not_depend_on_the_number_of_works(spark, monkeypatch):
     assert found() == expected
 
 
-def test_calibration_counts_all_far_pairs(spark):
-    rng = np.random.default_rng(2)
-    size = 8000
-    slipped = np.arange(size) % 4 == 0  # a fourth within reach, and half of those with a word that the works know
-    same = slipped & (np.arange(size) % 8 == 0)
-    cosine = np.clip(rng.normal(np.where(same, 0.8, 0.7), 0.1), -1, 1)
-    kept = slipped | (np.cumsum(~slipped) % 8 == 0)
-    rows = [(f"f{i}", 1 if slipped[i] else 3, float(cosine[i]) if kept[i] else None, bool(same[i])) for i in range(size)]
-    kept_share = (kept & ~slipped).sum() / (~slipped).sum()
-    assert kept_share == 1 / 8
-    slope, intercept = entity_match.calibration(spark.createDataFrame(rows, "form string, slips int, cosine double, same boolean"))
-    said = 1 / (1 + np.exp(-(slope * cosine + intercept)))
-    assert abs(said.mean() - same.mean()) < 0.02
+def test_confidences_hold_on_other_planted_pairs():
+    rng = random.Random(3)
+    works = sorted({("the " if i % 2 else "night ") + "".join(rng.choice(LETTERS) + rng.choice("aeiou") for _ in range(3 + i % 4)) for i in range(3000)})
+    vectors = entity_match.Vectors.fit(works)
+    cosine, own = entity_match.planted_pairs([(w, 1) for w in works], vectors)
+    assert len(own) > 3000 and 0 < own.mean() < 1
+    fit = np.arange(len(own)) % 2 == 0
+    slope, intercept = entity_match.calibration(cosine[fit], own[fit])
+    said = 1 / (1 + np.exp(-(slope * cosine[~fit] + intercept)))
+    assert slope > 0
+    for low in (0.0, 0.5):
+        part = (said >= low) & (said < low + 0.5 + low)
+        if part.sum() > 100:
+            assert abs(said[part].mean() - own[~fit][part].mean()) < 0.08
+
+
+def test_calibration_of_nothing():
+    slope, _ = entity_match.calibration(*entity_match.planted_pairs([], entity_match.Vectors.fit([])))
+    assert slope > 0
