@@ -16,6 +16,7 @@ from reelloom.plans.catalog import (
     browse_page,
     catalogue_documents,
     resolve_show,
+    show_documents,
     show_episodes,
     show_torrents,
     snapshot_items,
@@ -94,6 +95,18 @@ def show_detail(t: Tables, files: DataFrame, asked: str) -> tuple[DataFrame, Dat
     return rows, show_episodes(rows, files)
 
 
+def show_document(t: Tables, files: DataFrame, asked: str) -> str | None:
+    """The JSON of the show an identity means; None if there is none."""
+    found = show_detail(t, files, asked)
+    if found is None:
+        return None
+    show = resolve_show(t.contents, t.attributes, t.correlations, asked).first()  # at most one
+    spark = files.sparkSession
+    shows = spark.createDataFrame([(show.source, show.id, show.title)], "content_source string, content_id string, title string")
+    rows = found[0].withColumn("content_source", F.lit(show.source)).withColumn("content_id", F.lit(show.id))
+    return show_documents(shows, rows, files).first().document  # one show
+
+
 def worklist(t: Tables, ingested: DataFrame, attempts: DataFrame, as_of: Column, limit: int = 100) -> DataFrame:
     """Torrents to look up next."""
     return enrich.worklist(ingested, t.torrents, t.links, attempts, as_of, limit)

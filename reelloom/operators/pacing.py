@@ -84,9 +84,8 @@ def advance_cursor(states: DataFrame, source: str, expected: int, following: int
     found = states.where(hit).count()
     if found != 1:
         raise ValueError(f"cursor of {source} isn't at {expected}: {found} rows")
-    return states.withColumn("completed", F.when(hit, F.lit(completed)).otherwise(F.col("completed"))).withColumn(
-        "next_page", F.when(hit, F.lit(following)).otherwise(F.col("next_page"))
-    )
+    moved = {"next_page": F.lit(following), "completed": F.lit(completed)}
+    return states.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in moved.items()})
 
 
 def least_advanced(states: DataFrame, group: str) -> DataFrame:

@@ -157,7 +157,8 @@ def browse_page(
     genre: str | None = None,
     keywords: str | None = None,
 ) -> DataFrame:
-    """Torrent rows of one page of contents, with ``page_rank``.
+    """Torrent rows of one page of contents, with ``page_rank``, in the order
+    of ``page_order``.
 
     ``kind`` is movie, series or anime. The page is cut by contents before
     their torrents join, so the join sees ``PAGE_SIZE`` contents. Page 0 is
@@ -177,7 +178,16 @@ def browse_page(
     chosen = rows.orderBy(*order).offset(max(0, page - 1) * PAGE_SIZE).limit(PAGE_SIZE if page > 0 else 0)
     ranked = chosen.withColumn("page_rank", F.row_number().over(Window.orderBy(*order)))  # one page
     links = torrents.select(*KEY, "info_hash", "torrent_name", "size", "video_resolution", "seeders", "leechers", "provider")
-    return F.broadcast(ranked).join(links, KEY)
+    return F.broadcast(ranked).join(links, KEY).orderBy(*page_order())
+
+
+def torrent_order() -> list[Column]:
+    return [F.col("seeders").desc_nulls_last(), F.col("torrent_name"), F.col("info_hash")]
+
+
+def page_order() -> list[Column]:
+    """The order of a page's rows: contents by rank, their torrents by seeders."""
+    return [F.col("page_rank"), *torrent_order()]
 
 
 def quality_keys(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -193,19 +203,50 @@ def quality_keys(rows: DataFrame, group: list[str], order: list[Column]) -> Data
     )
 
 
+def _torrent_fields() -> list[Column]:
+    return [
+        F.col("provider"), F.col("quality"), non_negative(F.col("seeders")).alias("seeds"), non_negative(F.col("leechers")).alias("peers"),
+        F.col("size"), magnet_link(F.col("info_hash")).alias("url"), F.col("torrent_name").alias("name"),
+    ]
+
+
+def show_documents(shows: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(content_source, content_id, document): the JSON of each show's detail.
+
+    ``shows``: content_source, content_id, title; ``rows``: these keys and the
+    torrents' columns with their season maps; ``files`` as in
+    ``show_episodes``. Episodes come in order of season and number; a show
+    without any has an empty list.
+    """
+    key = ["content_source", "content_id"]
+    torrents = rows.drop("episodes", "episode_files")
+    # One season map per torrent and show.
+    maps = rows.withColumn("info_hash", F.struct("info_hash", *key))
+    listed = show_episodes(maps, files.join(rows.select("info_hash", *key).distinct(), "info_hash").withColumn("info_hash", F.struct("info_hash", *key)))
+    episodes = listed.select("info_hash.*", "season", "episode", "file").distinct().join(torrents, ["info_hash", *key])
+    place = [*key, "season", "episode"]
+    keyed = quality_keys(episodes, place, [*torrent_order(), F.col("file")])
+    torrent = F.struct(*_torrent_fields(), F.col("file"))
+    by_episode = keyed.groupBy(*place).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("quality_key", torrent)))).alias("torrents"))
+    episode = F.struct("season", "episode", F.concat(F.lit("Episode "), F.col("episode")).alias("title"), F.lit("").alias("overview"), "torrents")
+    # Seasons and numbers are in range, so a show has a bounded list; maps can't be sorted, so the place is.
+    entry = F.struct(F.struct("season", "episode").alias("at"), F.to_json(episode).alias("text"))
+    by_show = by_episode.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("episodes"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("episodes", F.array().cast("array<struct<at:struct<season:int,episode:int>,text:string>>")), lambda e: e["text"]), ","), F.lit("]"))
+    head = F.to_json(F.struct(F.concat_ws(".", *key).alias("_id"), "title"))
+    document = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"episodes":'), listed, F.lit("}"))
+    return shows.join(by_show, key, "left").select(*key, document.alias("document"))
+
+
 def catalogue_documents(page: DataFrame) -> DataFrame:
     """(page_rank, document): the JSON of each content of a browse page."""
-    order = [F.col("seeders").desc_nulls_last(), F.col("torrent_name"), F.col("info_hash")]
-    keyed = quality_keys(page, KEY, order)
-    torrent = F.struct(
-        F.col("provider"), F.col("quality"), non_negative(F.col("seeders")).alias("seeds"), non_negative(F.col("leechers")).alias("peers"),
-        "size", magnet_link(F.col("info_hash")).alias("url"), F.col("torrent_name").alias("name"),
-    )
+    keyed = quality_keys(page, KEY, torrent_order())
+    torrent = F.struct(*_torrent_fields())
     grouped = keyed.groupBy("page_rank", *KEY, "title", "release_year", "overview", "vote_average", "poster_path", "backdrop_path", "genres").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("quality_key", torrent)))).alias("torrents")
     )
     document = F.struct(
-        F.concat_ws(".", "content_source", "content_id").alias("id"),
+        F.concat_ws(".", "content_source", "content_id").alias("_id"),
         "title",
         F.col("release_year").alias("year"),
         F.coalesce("overview", F.lit("")).alias("synopsis"),

@@ -170,6 +170,11 @@ def conflicting(bound: DataFrame, correlations: DataFrame) -> DataFrame:
     return bound.join(correlations.select(*KEY, *CANONICAL), KEY).where(other).select("info_hash", "content_type", "tmdb_id").distinct()
 
 
+def any_arrived(pending: DataFrame, torrents: DataFrame) -> bool:
+    """Whether any pending link's torrent is there; stops at the first."""
+    return not pending.join(torrents.select("info_hash"), "info_hash", "left_semi").isEmpty()
+
+
 def materialize_pending(pending: DataFrame, torrents: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, pending) after links whose torrent has arrived moved over.
 

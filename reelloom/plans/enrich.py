@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelloom.functions.names import normalized_title, parse_release_name, titles_match, years_match
-from reelloom.functions.scalars import is_imdb_id
-from reelloom.operators.merge import first_of_each
+from reelloom.functions.scalars import is_imdb_id, truncated_error
+from reelloom.operators.merge import first_of_each, keep, merge, overwrite
 
 RETRY_SECONDS = 6 * 3600
 # Words that mark a name as media.
@@ -53,6 +53,31 @@ def worklist(ingested: DataFrame, torrents: DataFrame, links: DataFrame, attempt
     return rows.select("info_hash", "source", "name", "content_type", "external_id", "priority", "imported_at")
 
 
+def attempt_failed(attempts: DataFrame, failures: DataFrame, as_of: Column) -> DataFrame:
+    """Attempts after failures (info_hash, torrent_name, status, error): they
+    replace name, status and error, cut to 1000 characters, of an earlier
+    attempt; what it had parsed stays. One failure per hash."""
+    fresh = failures.select("info_hash", "torrent_name", "status", truncated_error(F.col("error")).alias("error"), as_of.alias("attempted_at"))
+    return _upserted(attempts, fresh)
+
+
+def attempt_matched(attempts: DataFrame, matches: DataFrame, as_of: Column) -> DataFrame:
+    """Attempts after matches (info_hash, torrent_name, parsed_title,
+    parsed_kind, parsed_year, content_type, content_id): these replace all and
+    clear the error. One match per hash."""
+    fresh = matches.select(
+        "info_hash", "torrent_name", "parsed_title", "parsed_kind", "parsed_year", F.lit("matched").alias("status"), F.lit(None).cast("string").alias("error"),
+        "content_type", F.lit("tmdb").alias("content_source"), "content_id", as_of.alias("attempted_at"), as_of.alias("matched_at"),
+    )
+    return _upserted(attempts, fresh)
+
+
+def _upserted(attempts: DataFrame, fresh: DataFrame) -> DataFrame:
+    missing = [F.lit(None).cast(attempts.schema[c].dataType).alias(c) for c in attempts.columns if c not in fresh.columns]
+    kept = {c: keep for c in attempts.columns if c not in fresh.columns}
+    return merge(attempts, fresh.select("*", *missing), ["info_hash"], kept, default=overwrite)
+
+
 def decide(candidates: DataFrame, titles: DataFrame) -> DataFrame:
     """(info_hash, status, id) for each candidate (info_hash, name, content_type,
     external_id).

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelloom.functions.scalars import video_resolution
-from reelloom.operators.merge import merge, overwrite
+from reelloom.functions.scalars import genre_slug, video_resolution
+from reelloom.operators.merge import insert_missing, merge, overwrite
 from reelloom.plans.catalog import KEY, resolved
 
 FILE_KEY = ["info_hash", *KEY, "season", "episode"]
@@ -65,6 +65,20 @@ def compacted(links: DataFrame) -> DataFrame:
     return links.withColumn("episodes", F.when(F.col("episodes").eqNullSafe(text) | text.isNull(), F.col("episodes")).otherwise(text))
 
 
+def upsert_genres(genres: DataFrame, members: DataFrame, delivered: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(genres, members) after a delivery of genre names.
+
+    ``genres``: source, id, name, updated_at; the latest name of an id wins.
+    ``members``: key columns and genre_id; those there are stay.
+    ``delivered``: key columns, ordinal and name. Names without an id are left
+    out; of equal ids the last delivered name counts.
+    """
+    rows = delivered.withColumn("genre_id", genre_slug(F.col("name"))).where("genre_id <> ''")
+    latest = rows.groupBy(F.col("content_source").alias("source"), F.col("genre_id").alias("id")).agg(F.max_by("name", F.struct("ordinal", "name")).alias("name"))
+    named = merge(genres, latest.withColumn("updated_at", as_of), ["source", "id"], {}, default=overwrite)
+    return named, insert_missing(members, rows.select(*KEY, "genre_id").distinct(), [*KEY, "genre_id"])
+
+
 def upsert_files(files: DataFrame, fresh: DataFrame) -> DataFrame:
     """The file table after newer paths replaced older ones."""
     return merge(files, fresh, FILE_KEY, {}, default=overwrite)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelloom.queries import catalog, merges, problems, scalars
+from reelloom.queries import catalog, intake, merges, problems, scalars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (problems, catalog, scalars, merges):
+for _module in (problems, catalog, scalars, merges, intake):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

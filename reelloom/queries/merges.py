@@ -13,7 +13,6 @@ from reelloom.plans import correlate, links
 from reelloom.plans.catalog import KEY
 from reelloom.plans.derive import ctes, derived
 from reelloom.session import is_folder, scratch_path, table
-from reelloom.sources import catalog_json, feed
 from reelloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,30 +221,6 @@ def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _collected(spark, ingest.arrived_links(torrents, pending))
 
 
-def xml_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of torrent_records, written as feed items and parsed again."""
-    escape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
-    rows = table(spark, sf_dir, "torrent_records").where("name is not null and source is not null")
-    item = F.concat(
-        F.lit('<rss xmlns:torznab="http://torznab.com/schemas/2015/feed"><channel><item><title>'), escape(F.col("name")), F.lit("</title><size>"),
-        F.coalesce(F.col("size"), F.lit(0)).cast("string"), F.lit('</size><torznab:attr name="infohash" value="'), escape(F.coalesce("info_hash", F.lit(""))), F.lit('"/></item></channel></rss>'),
-    )
-    feeds = rows.select(F.trim("source").alias("indexer"), item.alias("xml"))
-    return feed.parse_feeds(feeds).groupBy("entry").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("info_hash").alias("hashes"))
-
-
-def catalog_json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works written as catalogue items with two torrents each, parsed again."""
-    works = table(spark, sf_dir, "tmdb_content").select("kind", "id", "title", "release_year", "imdb_id", "vote_average", "genres").distinct()
-    torrent = lambda q: F.struct(F.concat(F.lit("magnet:?xt=urn:btih:"), F.sha1(F.concat(F.col("id").cast("string"), F.lit(q)))).alias("url"), F.lit(5).alias("seed"))
-    languages = F.create_map(F.lit("en"), F.create_map(F.lit("720p"), torrent("a"), F.lit("1080p"), torrent("b")))
-    item = F.struct("title", F.col("release_year").cast("string").alias("year"), "imdb_id", F.struct((F.col("vote_average") * 10).alias("percentage")).alias("rating"), "genres", languages.alias("torrents"))
-    pages = works.select("kind", F.concat(F.lit('{"results":['), F.to_json(item), F.lit("]}")).alias("body"))
-    items = catalog_json.page_items(pages)
-    found = catalog_json.item_torrents(items).groupBy("id").agg(F.count(F.lit(1)).alias("torrents"), F.array_join(F.array_sort(F.collect_set("quality")), ",").alias("qualities"))
-    return items.join(found, "id", "left").select("id", "title", "year", F.round("rating", 3).alias("rating"), "torrents", "qualities")
-
-
 KEPT = "case when coalesce(t.title, '') = '' then s.title else t.title end"
 QUERIES: dict[str, Query] = {
     "merge_fill_missing": merge_fill_missing,
@@ -262,8 +237,6 @@ QUERIES: dict[str, Query] = {
     "stream_dedup": stream_dedup,
     "stream_quota": stream_quota,
     "stream_pending": stream_pending,
-    "xml_feed": xml_feed,
-    "catalog_json": catalog_json_items,
 }
 
 SQL: dict[str, str] = {

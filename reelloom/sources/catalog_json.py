@@ -129,6 +129,14 @@ def page_items(pages: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.coalesce("given", stable_item_id(F.col("title"), F.col("year")))).drop("given")
 
 
+def one_catalogue(items: DataFrame) -> DataFrame:
+    """Items (endpoint, kind, id, …) of all endpoints as one catalogue: of items
+    that several deliver, that of the first endpoint, the least by content."""
+    own = [c for c in items.columns if c not in ("kind", "id")]
+    rest = F.struct("endpoint", *[c for c in own if c != "endpoint"])
+    return items.groupBy("kind", "id").agg(F.min(rest).alias("_i")).select("kind", "id", "_i.*")
+
+
 def item_torrents(items: DataFrame) -> DataFrame:
     """(id, info_hash, name, size, quality, seeders, leechers, season, episode,
     file) of the torrents anywhere in each item; broken hashes are left out."""

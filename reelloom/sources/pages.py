@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from html.parser import HTMLParser
-from urllib.parse import parse_qs, urljoin, urlsplit
+from urllib.parse import parse_qs, unquote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from reelloom.functions.infohash import hash_of_delivery
 from reelloom.functions.scalars import page_size_bytes
@@ -82,10 +83,32 @@ def page_records(pages: DataFrame) -> DataFrame:
     ).where("info_hash is not null and name is not null and size is not null")
 
 
+def page_errors(pages: DataFrame) -> DataFrame:
+    """(path, error) of pages (path, html) without any magnet link."""
+    rows = pages.select("path", _read("html").alias("p"))
+    return rows.where(~F.exists("p.anchors", lambda a: a["href"].startswith("magnet:"))).select("path", F.lit("no magnet link").alias("error"))
+
+
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, html) of the HTML files under a folder, at any depth."""
+    """(path, html) of the HTML files under a folder, at any depth and of any
+    size. A file reached through a symbolic link is skipped, where the folder
+    is of a file system that has them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[hH][tT][mM][lL]").load(folder)
-    return files.where(F.col("length") <= 8 << 20).select("path", F.decode("content", "UTF-8").alias("html"))
+    return files.where(~_through_link("path", F.lit(folder))).select("path", F.decode("content", "UTF-8").alias("html"))
+
+
+@F.pandas_udf(BooleanType())
+def _through_link(path: pd.Series, folder: pd.Series) -> pd.Series:
+    local = lambda p: unquote(urlsplit(p).path) if urlsplit(p).scheme in ("", "file") else None
+
+    def linked(p: str, root: str) -> bool:
+        place, top = local(p), local(root)
+        if place is None or top is None:
+            return False
+        below = os.path.relpath(place, top)
+        return os.path.join(os.path.realpath(top), below) != os.path.realpath(place)
+
+    return pd.Series([linked(p, f) for p, f in zip(path, folder)], dtype=bool)
 
 
 def folder_records(spark: SparkSession, folder: str) -> DataFrame:

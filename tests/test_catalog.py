@@ -43,7 +43,7 @@ def test_correlate_build_and_read(spark, tmp_path):
     items = {r.content_id: r for r in store.read(spark, "items").collect()}
     assert items["x"].poster_path == "/x.jpg" and items["x"].genres == ["Drama"] and items["1"].genres == []
     (page,) = api.browse(store, spark, kind="movie").collect()
-    assert '"1080p"' in page.document and '"id":"b.x"' in page.document
+    assert '"1080p"' in page.document and '"_id":"b.x"' in page.document
     assert api.browse(store, spark, kind="movie", page=0).count() == 0
     assert tuple(api.stats(store, spark).first()) == (1, 1, 3)
 

@@ -77,3 +77,8 @@ def test_job_status(spark):
     cases = [(2, 2, 0, 0, "failed"), (1, 2, 0, 0, "partial"), (0, 2, 1, 0, "partial"), (0, 2, 0, 1, "partial"), (0, 2, 0, 0, "completed"), (0, 0, 0, 0, "failed")]
     df = spark.createDataFrame(cases, "f int, n int, d int, s int, e string")
     assert all(r.e == r.x for r in df.select("e", pacing.job_status(F.col("f"), F.col("n"), F.col("f"), F.col("d"), F.col("s")).alias("x")).collect())
+
+
+def test_a_cursor_that_completes_moves_too(spark):
+    states = spark.createDataFrame([("a", 3, False), ("b", 3, False)], "source string, next_page int, completed boolean")
+    assert sorted(map(tuple, pacing.advance_cursor(states, "a", 3, 4, True).collect())) == [("a", 4, True), ("b", 3, False)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reelloom.sources import bencode, catalog_json, feed, metadata_json, pages
 
-HASH = "0123456789abcdef0123456789abcdef01234567"
+HASH = "c0ffee15900d5eed1234abcd9f8e7d6c5b4a3928"
 FEED = f"""<rss xmlns:t="http://torznab.com/schemas/2015/feed"><channel>
 <item><title>One</title><size>12</size><t:attr name="infohash" value="{HASH.upper()}"/></item>
 <item><title><![CDATA[Two & more]]></title><t:attr name="magneturl" value="magnet:?xt=urn:btih:{HASH}"/><t:attr name="size" value="7"/></item>
@@ -35,9 +35,9 @@ def test_locators(spark):
 
 
 PAGE = f"""{{"results": [
- {{"title": " A Show ", "imdb_id": "tt1234567", "year": "2011", "rating": {{"percentage": 74}}, "images": {{"poster": "/p.jpg"}}, "genres": ["drama", " "],
+ {{"title": " A Show ", "imdb_id": "tt0090210", "year": "2011", "rating": {{"percentage": 86}}, "images": {{"poster": "/p.jpg"}}, "genres": ["drama", " "],
    "torrents": {{"en": {{"1080p": {{"url": "magnet:?xt=urn:btih:{HASH}&amp;dn=x", "seed": 3, "size": "5"}}, "list": [{{"url": "x"}}]}}}},
-   "episodes": [{{"season": 2, "episode": "3", "torrents": {{"720p": {{"url": "magnet:?xt=urn:btih:{HASH[::-1]}", "file": "f.mkv"}}}}}}, {{"season": 99999, "episode": 1, "torrents": {{}}}}]}},
+   "episodes": [{{"season": 4, "episode": "11", "torrents": {{"720p": {{"url": "magnet:?xt=urn:btih:{HASH[::-1]}", "file": "f.mkv"}}}}}}, {{"season": 99999, "episode": 1, "torrents": {{}}}}]}},
  {{"slug": "the-other-one"}}, {{"title": ""}}, 5]}}"""
 
 
@@ -47,10 +47,10 @@ def test_catalogue_json(spark):
     out = {r.title: r for r in items.collect()}
     assert set(out) == {"A Show", "The Other One", "N"}
     show = out["A Show"]
-    assert (show.id, show.year, show.rating, show.poster, show.genres) == ("tt1234567", 2011, 7.4, "/p.jpg", ["drama"])
+    assert (show.id, show.year, show.rating, show.poster, show.genres) == ("tt0090210", 2011, 8.6, "/p.jpg", ["drama"])
     assert out["The Other One"].id == hashlib.sha256(b"the other one\x000").hexdigest()[:32]
     found = sorted((r.info_hash, r.name, r.quality, r.seeders, r.size, r.season, r.episode) for r in catalog_json.item_torrents(items).collect())
-    assert found == [(HASH, "A Show", "1080p", 3, 5, None, None), (HASH[::-1], "f.mkv", "720p", None, 0, 2, 3)]
+    assert found == [(HASH[::-1], "f.mkv", "720p", None, 0, 4, 11), (HASH, "A Show", "1080p", 3, 5, None, None)]
 
 
 def test_metadata_json(spark):
@@ -95,3 +95,24 @@ def test_robots(spark):
     assert pages.robots_rules("", "x") == ([], pages.LEAST_DELAY)
     with pytest.raises(ValueError):
         pages.robots_rules("User-agent: *\nCrawl-delay: -1", "x")
+
+
+def test_pages_without_magnets_and_links_of_folders(spark, tmp_path):
+    inside, outside = tmp_path / "in", tmp_path / "out"
+    inside.mkdir()
+    outside.mkdir()
+    (inside / "a b.html").write_text(HTML)
+    (inside / "none.html").write_text("<a href='/x'>x</a>")
+    (outside / "o.html").write_text(HTML.replace(HASH, HASH[::-1]))
+    (inside / "link.html").symlink_to(outside / "o.html")
+    (inside / "large.html").write_text(HTML.replace(HASH, HASH[1:] + "0") + " " * (9 << 20))
+    read = pages.read_folder(spark, str(inside))
+    assert sorted(r.path.rpartition("/")[2] for r in read.select("path").collect()) == ["a b.html", "large.html", "none.html"]
+    assert [(r.path.rpartition("/")[2], r.error) for r in pages.page_errors(read).collect()] == [("none.html", "no magnet link")]
+    assert {r.info_hash for r in pages.folder_records(spark, str(inside)).collect()} == {HASH, HASH[1:] + "0"}
+
+
+def test_endpoints_as_one_catalogue(spark):
+    items = spark.createDataFrame([(1, "movie", "a", "B"), (0, "movie", "a", "A"), (0, "movie", "a", "A"), (1, "show", "a", "C"), (1, "movie", None, "D")], "endpoint int, kind string, id string, title string")
+    assert sorted((r.kind, str(r.id), r.title) for r in catalog_json.one_catalogue(items).collect()) == [("movie", "None", "D"), ("movie", "a", "A"), ("show", "a", "C")]
+    assert catalog_json.one_catalogue(items.limit(0)).count() == 0
