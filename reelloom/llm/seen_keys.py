@@ -209,11 +209,16 @@ def arrivals(records: DataFrame, ingested: DataFrame) -> tuple[DataFrame, DataFr
 def _checked(keys: DataFrame) -> DataFrame:
     """Keys of epochs after the first for which a set said yes, with the truth."""
     maybe = probe_sets(build_sets(keys), keys.where("epoch > 0"))
-    earliest = keys.groupBy("source", "hash").agg(F.min("epoch").alias("earliest"))
+    claimed = maybe.groupBy("h").agg(F.collect_set("epoch").alias("claims"))  # at most one per epoch
+    # Only claimed keys are looked up; h follows from the key, so its partitioning serves the grouping too.
+    seen = F.collect_list(F.struct("epoch", "first_id")).alias("seen")
     return (
-        keys.join(maybe, ["h", "epoch"])
-        .join(earliest, ["source", "hash"])
-        .select("source", "hash", "epoch", "first_id", (F.col("earliest") < F.col("epoch")).alias("confirmed"))
+        keys.join(claimed, "h")
+        .groupBy("h", "source", "hash")
+        .agg(F.min("epoch").alias("earliest"), F.first("claims").alias("claims"), seen)
+        .withColumn("s", F.explode("seen"))
+        .where(F.array_contains("claims", F.col("s.epoch")))
+        .select("source", "hash", "s.epoch", "s.first_id", (F.col("earliest") < F.col("s.epoch")).alias("confirmed"))
     )
 
 
