@@ -86,33 +86,24 @@ def generations_with_rows(*tables: SnapshotTable) -> tuple[list, list[int]]:
 def _differing(leaves: DataFrame, bits: int, last: int) -> DataFrame:
     """(leaf, ord): leaves whose digest differs from generation ``ord - 1``.
 
-    Levels are visited from the root; a node is looked at only if its parent
-    differs for the same pair of generations.
+    Levels are visited from the root. Before a level is summed up, leaves below
+    nodes that agree are dropped, so equal parts of two generations are looked
+    at no further. Digests combine by exclusive or, so that of two generations
+    together is zero where they agree.
     """
-    depths = [*range(0, bits, LEVEL_BITS), bits]
-    parents = None
-    for depth in depths:
+    both = F.array(F.struct(F.col("ord"), F.lit(1).alias("sign")), F.struct((F.col("ord") + 1).alias("ord"), F.lit(-1).alias("sign")))
+    pairs = leaves.select("leaf", "d1", "d2", "n", F.explode(both).alias("p")).select("leaf", "p.ord", "d1", "d2", (F.col("n") * F.col("p.sign")).alias("n")).where(F.col("ord").between(1, last))
+    below = pairs
+    for depth in [*range(0, bits, LEVEL_BITS), bits]:
+        node = F.shiftright("leaf", bits - depth)
         nodes = (
-            leaves.groupBy(F.shiftright("leaf", bits - depth).alias("node"), "ord")
+            below.groupBy(node.alias("node"), "ord")
             .agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.sum("n").alias("n"))
-            .withColumn("digest", F.struct("d1", "d2", "n"))
-        )
-        now = nodes.select("node", "ord", "digest")
-        before = nodes.select("node", (F.col("ord") + 1).alias("ord"), F.col("digest").alias("digest_before"))
-        pairs = (
-            now.join(before, ["node", "ord"], "full")
-            .where(F.col("ord").between(1, last) & ~F.col("digest").eqNullSafe(F.col("digest_before")))
+            .where("d1 <> 0 or d2 <> 0 or n <> 0")
             .select("node", "ord")
         )
-        if parents is not None:
-            step = depth - depths[depths.index(depth) - 1]
-            pairs = (
-                pairs.withColumn("parent", F.shiftright("node", step))
-                .join(parents, ["parent", "ord"], "left_semi")
-                .select("node", "ord")
-            )
-        parents = pairs.select(F.col("node").alias("parent"), "ord")
-    return parents.select(F.col("parent").alias("leaf"), "ord")
+        below = pairs.withColumn("node", node).join(nodes, ["node", "ord"], "left_semi").drop("node")
+    return nodes.withColumnRenamed("node", "leaf")
 
 
 def snapshot_changes(
@@ -127,7 +118,6 @@ def snapshot_changes(
     than two generations the result is empty. A digest has 128 bits, so an
     unseen change is about as likely as two equal random 128-bit numbers.
     """
-    spark = t.rows.sparkSession
     out = [F.col(f"k_{i}").alias(k) for i, k in enumerate(t.keys)]
     if len(generations) < 2:
         return t.values().where(F.lit(False)).select(F.col("_generation").alias("generation"), *out, F.lit("").alias("change_kind"))
@@ -144,10 +134,9 @@ def snapshot_changes(
     light = rows.select(
         "leaf", "ord", null_safe_hash(t.digest_inputs(), 1).alias("d1"), null_safe_hash(t.digest_inputs(), 2).alias("d2")
     )
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Repeats of a row collapse before they move, so a key that holds a third of all rows moves a few.
     leaves = materialize(
-        light.repartition(parts, "leaf")
-        .distinct()
+        light.distinct()
         .groupBy("leaf", "ord")
         .agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.count(F.lit(1)).alias("n")),
         "leaves",

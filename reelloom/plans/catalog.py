@@ -78,8 +78,9 @@ def snapshot_torrents(
     """One row per canonical content and torrent: peers at their largest, the
     latest known resolution, first and last times, provider names or DHT.
 
-    Contents that are aliases or for adults don't show. The link table is
-    aggregated before the joins, so these move grouped rows only.
+    Contents that are aliases or for adults don't show. Links have a row per
+    torrent and content, so they are grouped once, after aliases are resolved;
+    the joins that follow move grouped rows only.
     """
     known = links.where(F.col("content_type").isin("movie", "tv_show") & F.col("content_source").isNotNull() & F.col("content_id").isNotNull())
     grouped = (
