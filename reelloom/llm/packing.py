@@ -13,7 +13,6 @@ poorly filled; no task sees more than a block.
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,9 +25,7 @@ from pyspark.sql import functions as F
 from reelloom.session import broadcast_small, materialize
 
 BLOCK = 20_000
-TOKENIZERS = os.environ.get("REELLOOM_TOKENIZERS", "/opt/tokenizers")
-VOCABULARY = "byte_bpe_50k.tiktoken"
-# Fixed value: how the vocabulary's tokenizer cuts a text before merging.
+# Fixed value: how a byte-level BPE of English cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -96,7 +93,7 @@ def pieces(ids: np.ndarray, tokens: np.ndarray, capacity: int) -> tuple[np.ndarr
     return row, piece, np.minimum(capacity, tokens[row] - piece * capacity)
 
 
-def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizers: str, vocabulary: str) -> DataFrame:
     """(doc_id, tokens) of every document; a null text has none."""
     ranks_text = (Path(tokenizers) / vocabulary).read_bytes()
 
@@ -112,7 +109,7 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary:
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(count, "doc_id bigint, tokens bigint")
 
 
-def packed(documents: DataFrame, windows: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed(documents: DataFrame, windows: DataFrame, tokenizers: str, vocabulary: str) -> DataFrame:
     """(window_id, container, doc_id, piece, tokens): where each text goes.
 
     ``windows`` has window_id and capacity_tokens, a few rows; capacities

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ from reelloom.session import table
 
 CONTENT_KEY = ["content_type", "content_source", "content_id"]
 TOP_TORRENTS = 3
+# The public byte-level BPE of 50,256 ranks, and where its file is.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZERS = os.environ.get("REELLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +99,7 @@ SELECT record_id FROM keyed JOIN firsts USING (source, hash) WHERE record_id > f
 """
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"), TOKENIZERS, VOCABULARY)
 
 
 def p8_unused(spark: SparkSession, sf_dir: str) -> DataFrame:

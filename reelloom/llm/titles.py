@@ -108,8 +108,8 @@ def parse_release(name: str) -> tuple[list[tuple[str, int]], int | None, str]:
     """
     text = name.strip()
     # A size or an extension can only stand at the end.
-    for pattern, reach in ((_SIZE, 24), (_EXTENSION, 6)):
-        found = pattern.search(text, max(0, len(text) - reach))
+    for pattern, reach, ends in ((_SIZE, 24, "boBO])}"), (_EXTENSION, 6, "")):
+        found = (not ends or text[-1:] in ends) and pattern.search(text, max(0, len(text) - reach))
         if found:
             text = text[: found.start()]
     if text.startswith("["):

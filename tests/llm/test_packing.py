@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from reelloom.llm.packing import best_fit_decreasing, fill_report, packed, pieces
+from reelloom.llm.queries import TOKENIZERS, VOCABULARY
 
 
 def plain(sizes, capacity):
@@ -43,7 +44,7 @@ def test_packed(spark):
     texts = [(i, "word " * rng.randrange(0, 90)) for i in range(300)] + [(998, None), (999, ""), (7, "again"), (1000, "long " * 5000)]
     docs = spark.createDataFrame([(*t, 1, 2) for t in texts], "doc_id bigint, text string, tokens int, block int")
     windows = spark.createDataFrame([(1, 64), (2, 256), (3, 0), (None, 9), (4, None)], "window_id int, capacity_tokens int")
-    rows = packed(docs, windows).collect()
+    rows = packed(docs, windows, TOKENIZERS, VOCABULARY).collect()
     for window, capacity in ((1, 64), (2, 256)):
         mine = [r for r in rows if r.window_id == window]
         fill = {}
@@ -56,6 +57,6 @@ def test_packed(spark):
         assert all(len(p) == 1 or sum(r.tokens for r in p) > capacity or d == 7 for d, p in whole.items())
         assert {998, 999}.isdisjoint(whole)
     assert {r.window_id for r in rows} == {1, 2}
-    report = {r.window_id: r for r in fill_report(packed(docs, windows), windows).collect()}
+    report = {r.window_id: r for r in fill_report(packed(docs, windows, TOKENIZERS, VOCABULARY), windows).collect()}
     assert report[1].containers >= report[1].least_containers and 0 <= report[1].unused < 0.1
-    assert packed(docs.limit(0), windows).count() == 0 and packed(docs, windows.limit(0)).count() == 0
+    assert packed(docs.limit(0), windows, TOKENIZERS, VOCABULARY).count() == 0 and packed(docs, windows.limit(0), TOKENIZERS, VOCABULARY).count() == 0
