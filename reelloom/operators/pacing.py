@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,30 @@ def backfill_step(state: BackfillState, records: int, fingerprint: str | None, d
     return BackfillState(state.next_year - 1, state.min_year, kept, repeated, done)
 
 
+def backfill_walks(states: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Where each source's walk stands after its attempts.
+
+    ``states``: source, next_year, min_year; ``attempts``: source, attempt,
+    records, fingerprint, deferred, in order of attempt. Attempts after the
+    walk is complete don't count. A source has few attempts: one per year and
+    retry.
+    """
+
+    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for source, following, least in zip(left["source"], left["next_year"], left["min_year"]):
+            state = BackfillState(int(following), int(least))
+            for records, fingerprint, deferred in right.sort_values("attempt")[["records", "fingerprint", "deferred"]].itertuples(index=False):
+                if state.completed:
+                    break
+                state = backfill_step(state, int(records), fingerprint, int(deferred))
+            out.append((source, state.next_year, state.last_fingerprint, state.repeated_pages, state.completed))
+        return pd.DataFrame(out, columns=["source", "next_year", "last_fingerprint", "repeated_pages", "completed"])
+
+    schema = "source string, next_year int, last_fingerprint string, repeated_pages int, completed boolean"
+    return states.groupBy("source").cogroup(attempts.groupBy("source")).applyInPandas(walk, schema)
+
+
 def reopened(state: BackfillState, min_year: int) -> BackfillState:
     """The earliest wanted year only falls; a completed walk then goes on."""
     if min_year < state.min_year:

@@ -107,16 +107,22 @@ def title_matches(wanted: DataFrame, titles: DataFrame) -> DataFrame:
     held by it, of the same kind and within a year.
 
     Containment of eight characters or more shares a run of eight, so both
-    sides are keyed by such runs: the shorter one's first run is one of the
-    longer one's runs. That makes the test an equality join.
+    sides are keyed by such runs: any run of the shorter one is one of the
+    longer one's. That makes the test an equality join; of the shorter one's
+    runs the rarest is taken, so a run that many titles share keys few.
     """
     run = 8
     runs = lambda t: F.when(F.length(t) >= run, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - run + 1), lambda i: F.substring(t, i, F.lit(run))))).otherwise(F.array(t))
-    first = lambda t: F.array(F.substring(t, 1, run))
     a = wanted.withColumn("plain", normalized_title(F.col("title"))).where("plain <> ''")
     b = titles.select("kind", "id", F.col("title").alias("found"), F.col("year").alias("found_year"))
     b = b.withColumn("found_plain", normalized_title(F.col("found"))).where("found_plain <> ''")
-    one = a.withColumn("run", F.explode(first(F.col("plain")))).join(b.withColumn("run", F.explode(runs(F.col("found_plain")))), ["kind", "run"])
-    two = a.withColumn("run", F.explode(runs(F.col("plain")))).join(b.withColumn("run", F.explode(first(F.col("found_plain")))), ["kind", "run"])
+    every = [t.withColumn("run", F.explode(runs(F.col(c)))) for t, c in ((a, "plain"), (b, "found_plain"))]
+
+    def rarest(short: DataFrame, long: DataFrame, names: list[str]) -> DataFrame:
+        held = long.groupBy("kind", "run").agg(F.count(F.lit(1)).alias("n"))
+        return short.join(held, ["kind", "run"]).groupBy(*names).agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+
+    one = rarest(every[0], every[1], a.columns).join(every[1], ["kind", "run"])
+    two = rarest(every[1], every[0], b.columns).join(every[0], ["kind", "run"])
     pairs = one.unionByName(two).where(titles_match(F.col("title"), F.col("found")) & years_match(F.col("year"), F.col("found_year")))
     return pairs.select("info_hash", "id").distinct()

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from reelloom.api import import_payload, valid_records
 from reelloom.functions.scalars import chosen_sources, folded_query, parse_boolean, truncated_error, year_of_date
 from reelloom.operators import jobs
-from reelloom.operators.pacing import advance_cursor
+from reelloom.operators.pacing import advance_cursor, backfill_walks
 from reelloom.plans import correlate, enrich, links
-from reelloom.plans.catalog import browse_page, page_order, show_documents
+from reelloom.plans.catalog import browse_page, catalogue_documents, page_order, show_documents
 from reelloom.plans.derive import ctes, derived
 from reelloom.session import table
 from reelloom.sources import bencode, catalog_json, feed, metadata_json, pages
@@ -479,6 +479,31 @@ CURSOR_SQL = """select s_name as source, cast(s_suppkey % 7 + case when s_name =
   s_name = (select min(s_name) from supplier) as completed from supplier"""
 
 
+def backfill_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sources that walk back from 2000, eight attempts each."""
+    k = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier")
+    states = sources.select(_text("s_suppkey").alias("source"), F.lit(2000).alias("next_year"), (F.lit(1990) + k % 8).cast("int").alias("min_year"))
+    tried = sources.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    i = F.col("attempt")
+    fingerprint = F.concat(F.lit("f"), F.floor(i / (k % 4 + 1)).cast("string"))
+    attempts = tried.select(_text("s_suppkey").alias("source"), "attempt", ((k + i) % 5).alias("records"), fingerprint.alias("fingerprint"), F.when((k + i) % 7 == 0, 1).otherwise(0).alias("deferred"))
+    return backfill_walks(states, attempts).withColumn("completed", F.col("completed").cast("string"))
+
+
+BACKFILL_SQL = """
+with recursive w as (
+  select s_suppkey as k, 0 as i, 2000 as next_year, cast(null as varchar) as fp, 0 as repeated, false as completed from supplier
+  union all
+  select k, i + 1, case when d then next_year else next_year - 1 end, case when d or n = 0 then fp else now end, case when d then repeated else r end,
+    case when d then false else next_year <= 1990 + k % 8 or r >= 2 end
+  from (select *, case when n = 0 then 0 when fp = now then repeated + 1 else 0 end as r
+    from (select *, (k + i) % 5 as n, (k + i) % 7 = 0 as d, 'f' || (i // (k % 4 + 1)) as now from w where not completed and i < 8)))
+select cast(k as varchar) as source, cast(next_year as int) as next_year, fp as last_fingerprint, cast(repeated as int) as repeated_pages, cast(completed as varchar) as completed
+from (select *, row_number() over (partition by k order by i desc) as n from w) where n = 1
+"""
+
+
 # Pages of the catalogue.
 
 
@@ -512,6 +537,25 @@ select cast(row_number() over (order by page_rank, case when q % 4 > 0 then q en
 """
 
 
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the first page of delivered films, read again."""
+    schema = "_id string, title string, year int, rating double, type string, torrents map<string,map<string,struct<provider:string,quality:string,seeds:int,peers:int,size:bigint,url:string,name:string>>>"
+    read = catalogue_documents(_delivered_page(spark, sf_dir)).select("page_rank", F.from_json("document", schema).alias("d"))
+    return read.select("page_rank", F.col("d._id").alias("content"), "d.title", "d.year", "d.rating", "d.type", F.explode(F.col("d.torrents")["en"]).alias("key", "t")).select(
+        "page_rank", "content", "title", "year", "rating", "type", "key", "t.*"
+    )
+
+
+PAGE_DOCUMENTS_SQL = """
+with page as (select p_partkey, p_name, p_size, row_number() over (order by p_name, p_size desc nulls last, cast(p_partkey as varchar)) as page_rank from part),
+rows as (select page_rank, 'tmdb.' || l_partkey as content, p_name, p_size, cast(l_orderkey as varchar) as info_hash, 'n' || l_orderkey % 3 as name, cast(max(l_quantity) as int) as q
+  from lineitem join page on l_partkey = p_partkey where page_rank <= 50 group by page_rank, l_partkey, p_name, p_size, l_orderkey),
+keyed as (select *, row_number() over (partition by page_rank order by case when q % 4 > 0 then q end desc nulls last, name, info_hash) as n from rows)
+select cast(page_rank as int) as page_rank, content, p_name as title, cast(p_size as int) as year, 1.0::double as rating, 'movie' as type, case when n = 1 then '720p' else '720p-' || n end as key, 'p' as provider,
+  '720p' as quality, case when q % 4 > 0 then q else 0 end as seeds, 1 as peers, cast(1 as bigint) as size, 'magnet:?xt=urn:btih:' || info_hash as url, name from keyed
+"""
+
+
 def show_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail documents of all shows, read again: an entry per episode and torrent."""
     contents, found, torrents = derived(spark, sf_dir, "contents", "links", "torrents")
@@ -576,7 +620,9 @@ QUERIES: dict[str, Query] = {
     "source_progress": source_progress,
     "first_batch": first_batch,
     "cursor_moved": cursor_moved,
+    "backfill_walk": backfill_walk,
     "browse_ordered": browse_ordered,
+    "page_documents": page_documents,
     "show_details": show_details,
 }
 
@@ -620,6 +666,8 @@ SQL: dict[str, str] = {
     "source_progress": "select l_orderkey, l_linenumber, cast(l_partkey % 1500 as int) as fetched, cast(l_suppkey % 7 + l_linenumber % 3 as int) as skipped, l_partkey % 1500 >= 1000 as saturated from lineitem",
     "first_batch": FIRST_BATCH_SQL,
     "cursor_moved": CURSOR_SQL,
+    "backfill_walk": BACKFILL_SQL,
     "browse_ordered": BROWSE_ORDERED_SQL,
+    "page_documents": PAGE_DOCUMENTS_SQL,
     "show_details": SHOW_DETAILS_SQL,
 }

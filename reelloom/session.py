@@ -34,9 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def broadcast_small(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows and
+    these, as text, at most ``most_bytes``."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    rows, held = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if rows <= most_rows and (held or 0) <= most_bytes else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,23 +27,37 @@ def first_keys(stream: DataFrame, keys: list[str], at: str | None = None, late:
     return stream.select(*keys).dropDuplicates(keys)
 
 
-def admitted(stream: DataFrame, source: str, at: str, ident: str, limit: int) -> DataFrame:
+def admitted(stream: DataFrame, source: str, at: str, ident: str, limit: int, forget_after: float | None = None) -> DataFrame:
     """(ident, source, admitted): the first ``limit`` of each source and clock
     hour, in the order of arrival and, within a batch, of the identifier.
 
-    The state is one counter per source and hour. A spent place stays spent.
+    The state is one counter per source and hour, and memory holds ``limit``
+    identifiers of it at most. A spent place stays spent; with ``forget_after``
+    an hour is forgotten so many seconds after its last row, by when no more of
+    it must come.
     """
 
     def count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = state.get[0] if state.exists else 0
-        ids = sorted(x for pdf in rows for x in pdf["id"])
-        yield pd.DataFrame({"id": ids, "source": key[0], "admitted": [used + i < limit for i in range(len(ids))]})
-        state.update((min(used + len(ids), limit),))
+        free = limit - used
+        first = np.empty(0, np.int64)
+        for pdf in rows:
+            ids = np.sort(np.concatenate([first, pdf["id"].to_numpy()]))
+            first, rest = ids[:free], ids[free:]
+            yield pd.DataFrame({"id": rest, "source": key[0], "admitted": False})
+        yield pd.DataFrame({"id": first, "source": key[0], "admitted": True})
+        state.update((used + len(first),))
+        if forget_after is not None:
+            state.setTimeoutDuration(round(forget_after * 1000))
 
     hour = F.date_trunc("hour", F.col(at)).cast("string").alias("hour")
     keyed = stream.select(F.col(ident).cast("bigint").alias("id"), F.col(source).cast("string").alias("source"), hour)
     counted = keyed.groupBy("source", "hour").applyInPandasWithState(
-        count, "id bigint, source string, admitted boolean", "used bigint", "append", GroupStateTimeout.NoTimeout
+        count, "id bigint, source string, admitted boolean", "used bigint", "append",
+        GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
     return counted.select(F.col("id").alias(ident), F.col("source").alias(source), "admitted")
 
