@@ -12,6 +12,7 @@ from reelloom.functions.infohash import hash_of_delivery, normalize_info_hash
 from reelloom.functions.sizes import name_bytes, size_text_bytes
 from reelloom.operators import pacing
 from reelloom.operators.merge import first_of_each, unseen
+from reelloom.operators.pairs import sharing_pairs, whole
 from reelloom.plans.catalog import BACKDROPS, POSTERS
 from reelloom.plans.enrich import title_matches
 from reelloom.session import table
@@ -294,13 +295,11 @@ EXISTS_SQL = "select o_orderkey from orders o where o_orderpriority = '1-URGENT'
 
 
 def disjunctive_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers of one nation or of one balance, as a union of
-    two equality joins."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.floor("c_acctbal").alias("c"))
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.floor("s_acctbal").alias("s"))
-    one = customers.join(suppliers, F.col("c_nationkey") == F.col("s_nationkey"))
-    two = customers.join(suppliers, F.col("c") == F.col("s"))
-    return one.unionByName(two).select("c_custkey", "s_suppkey").distinct()
+    """Customers and suppliers of one nation or of one balance."""
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nation = F.col("c_nationkey"), F.col("s_nationkey")
+    balance = whole(F.col("c_acctbal")), whole(F.col("s_acctbal"))
+    return sharing_pairs(customers, suppliers, "c_custkey", "s_suppkey", [nation, balance])
 
 
 DISJUNCTIVE_SQL = """
